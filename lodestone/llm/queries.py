@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, neardup, packing
 from .storage import small_batches
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -24,8 +28,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op9_mix_sources, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # every pair compared; components by recursion over the pairs found
+        "op1_embedding_neardup": """
+            WITH RECURSIVE pair AS (
+                SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b
+                ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.95
+            ), reach(x, y) AS (
+                SELECT x, y FROM pair UNION SELECT r.x, p.y FROM reach r JOIN pair p ON r.y = p.x
+            ), least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+            SELECT e.vec_id, coalesce(least(e.vec_id, l.y), e.vec_id) AS cluster_id,
+                   coalesce(least(e.vec_id, l.y), e.vec_id) = e.vec_id AS keep
+            FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x""",
+    }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, ngram_join, packing
+from . import line_dedup, mixing, neardup, ngram_join, packing
 from .storage import small_batches
 
 
@@ -19,6 +19,10 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op8_ngram_join, op9_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op6_line_dedup, op8_ngram_join, op9_mix_sources, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, neardup, ngram_join, packing
+from . import line_dedup, mixing, neardup, ngram_join, packing, topk, toxicity
 from .storage import small_batches
 
 
@@ -19,6 +19,14 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,11 +44,25 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op6_line_dedup, op8_ngram_join, op9_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_topk_search, op5_toxicity, op6_line_dedup, op8_ngram_join, op9_mix_sources, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # every document scored for every query
+        "op2_topk_search": """
+            WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+            len AS (SELECT d.doc_id, count(t.w) AS n FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY 1),
+            size AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
+            qt AS (SELECT item_id, w, count(*) AS qn FROM
+                   (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark) GROUP BY 1, 2),
+            tf AS (SELECT doc_id, w, count(*) AS tf FROM tok WHERE w IN (SELECT w FROM qt) GROUP BY 1, 2),
+            df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+            scored AS (SELECT qt.item_id, tf.doc_id, round(sum(qt.qn * ln(1 + (size.docs - df.df + 0.5) / (df.df + 0.5))
+                       * (tf.tf * 2.2) / (tf.tf + 1.2 * (0.25 + 0.75 * len.n / size.mean))), 6) AS score
+                       FROM qt JOIN tf USING (w) JOIN df USING (w) JOIN len USING (doc_id), size GROUP BY 1, 2)
+            SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+                           FROM scored WHERE score > 0) WHERE rank <= 10""",
         # every pair compared; components by recursion over the pairs found
         "op1_embedding_neardup": """
             WITH RECURSIVE pair AS (

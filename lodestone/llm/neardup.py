@@ -103,7 +103,7 @@ def near_duplicates(
                 node, root = least_labels(a, b)
                 far = node != root
                 a, b = root[far], node[far]
-            return pd.DataFrame({"kind": 0, "dim": key[0], "pass": key[1], "part": part, "rank": np.zeros(len(a), np.int64), "a": a, "b": b, "v": [None] * len(a)})
+            return pd.DataFrame({"kind": 0, "dim": key[0], "pass": key[1], "part": part, "rank": np.zeros(len(a), np.int64), "a": a, "b": b, "v": pd.Series([None] * len(a), dtype=object)})
 
         def rows(key, kind, rank, ids, x):
             return pd.DataFrame({"kind": kind, "dim": key[0], "pass": key[1], "part": part, "rank": rank, "a": ids, "b": ids, "v": list(x)})

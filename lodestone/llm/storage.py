@@ -15,8 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of text in one Arrow batch; keeps a Python worker's memory small even if texts are long.
-BATCH_ROWS = 1000
+#: Most rows and bytes of an Arrow batch; the bytes keep a Python worker's memory small even if texts are long.
+BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
 _own: dict[str, str] = {}
 
 
@@ -41,5 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch for operators that hand texts to Python."""
+    """Bounds an Arrow batch for operators that hand texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -19,7 +19,7 @@ find_words = re.compile(r"\w+").findall
 class WordHashes(dict):
     """word -> signed 64-bit hash; remembers a bounded number of words."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, neardup, ngram_join, packing, topk, toxicity
+from . import licenses, line_dedup, mixing, neardup, ngram_join, packing, pii, suffix_tree, topk, toxicity
 from .storage import small_batches
 
 
@@ -23,6 +23,14 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -31,6 +39,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_data(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op2_topk_search, op5_toxicity, op6_line_dedup, op8_ngram_join, op9_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_topk_search, op3_license_scan, op4_lm_score, op5_toxicity, op6_line_dedup, op7_pii, op8_ngram_join, op9_mix_sources, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:

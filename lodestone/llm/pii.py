@@ -16,6 +16,7 @@ The weights are fitted by pseudo-likelihood on sentences made here, seeded.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -198,23 +199,22 @@ class Model:
 
 def made_sentences(number: int, seed: int) -> list[tuple[list[str], list[str]]]:
     """Tokens and labels of invented sentences with private data and look-alikes."""
-    rng = np.random.default_rng(seed)
-    part = lambda: "".join(rng.choice(list("bcdfghklmnprstvw"), 1).tolist() + rng.choice(list("aeiouéöñ"), 1).tolist() + rng.choice(list("nrstl"), 1).tolist())
-    word = lambda: "".join(part() for _ in range(rng.integers(1, 4)))
-    d = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    pick = lambda *x: x[rng.integers(len(x))]
-    hexes = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
-    alnum = lambda k: "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), k))
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiouéöñ") + rng.choice("nrstl") for _ in range(rng.randrange(1, 4)))
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    pick = lambda *x: rng.choice(x)
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    alnum = lambda k: "".join(rng.choices("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=k))
 
     def entity() -> list[tuple[str, str]]:
-        k = rng.integers(0, 9)
+        k = rng.randrange(9)
         if k <= 1:
             return [(pick(word() + "." + d(2), word(), word() + "_" + word()) + "@" + word() + pick("", d(1)) + pick(".com", ".org", ".example.com"), "EMAIL")]
         if k <= 3:
             tail = [(f"({d(3)})", "PHONE"), (f"{d(3)}-{d(4)}", "PHONE")]
             return pick([("+" + d(1), "PHONE"), *tail], tail, [(f"{d(3)}-{d(3)}-{d(4)}", "PHONE")], [(f"+{d(11)}", "PHONE")])
         if k == 4 or k == 5:
-            return [(".".join(str(x) for x in rng.integers(1, 255, 4)), "IP")]
+            return [(".".join(str(rng.randrange(1, 255)) for _ in range(4)), "IP")]
         if k == 6:
             return pick([(d(16), "CARD")], [(d(16), "CARD")], [(x, "CARD") for x in ("-".join([d(4), d(4), d(4), d(4)]),)])
         secret = pick(hexes(40), hexes(32), alnum(24), "sk-" + alnum(20), "ghp_" + alnum(24))
@@ -225,12 +225,12 @@ def made_sentences(number: int, seed: int) -> list[tuple[list[str], list[str]]]:
     def lure() -> list[tuple[str, str]]:
         return pick(
             [("version", "O"), (f"{d(1)}.{d(1)}.", "O")],
-            [(str(rng.integers(1900, 2030)), "O")],
-            [(d(rng.integers(1, 4)), "O")],
+            [(str(rng.randrange(1900, 2030)), "O")],
+            [(d(rng.randrange(1, 4)), "O")],
             [(f"{d(3)},{d(3)}", "O")],
             [("page", "O"), (d(2), "O")],
             [("$" + d(2) + "." + d(2), "O")],
-            [(d(rng.integers(5, 9)), "O")],
+            [(d(rng.randrange(5, 9)), "O")],
             [(f"{d(1)}.{d(2)}.{d(1)}", "O")],
             [(word() + d(2), "O")],
             [(f"{d(4)}-{d(2)}-{d(2)}", "O")],
@@ -241,9 +241,9 @@ def made_sentences(number: int, seed: int) -> list[tuple[list[str], list[str]]]:
     out = []
     for _ in range(number):
         rows: list[tuple[str, str]] = []
-        known = [entity() for _ in range(rng.integers(1, 3))]
-        for _ in range(rng.integers(2, 6)):
-            rows += [(word() + pick("", "", "", ".", ","), "O") for _ in range(rng.integers(1, 6))]
+        known = [entity() for _ in range(rng.randrange(1, 3))]
+        for _ in range(rng.randrange(2, 6)):
+            rows += [(word() + pick("", "", "", ".", ","), "O") for _ in range(rng.randrange(1, 6))]
             k = rng.random()
             rows += pick(*known) if k < 0.45 else lure() if k < 0.9 else []
             if rng.random() < 0.15 and rows[-1][1] != "O":

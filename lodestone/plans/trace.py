@@ -82,6 +82,7 @@ class Trace:
     seen: dict[str, int] = field(default_factory=dict)
     pending: int = 0
     inputs_used: list[Column] = field(default_factory=list)
+    aliases: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def current() -> "Trace":
@@ -120,7 +121,12 @@ class Trace:
             return self.known[key]
         if self.ready(columns):
             text = json.dumps([kind, params, [str(c) for c in columns]], default=str, sort_keys=True)
-            self.calls.append(Call(key, list(columns), state(), hashlib.sha1(text.encode()).hexdigest(), list(self.lookups)))
+            signature = hashlib.sha1(text.encode()).hexdigest()
+            twin = next((c for c in self.calls if c.signature == signature and len(c.lookups) == len(self.lookups)), None)
+            if twin is not None:
+                self.aliases[key] = twin.key
+                return PENDING
+            self.calls.append(Call(key, list(columns), state(), signature, list(self.lookups)))
         return PENDING
 
     def join(self, key: Column, table: DataFrame, values: Sequence[str]) -> dict[str, Column]:
@@ -189,6 +195,7 @@ def phases(df: DataFrame, fn: Callable, solve: Callable[[DataFrame, Sequence[Cal
                 raise ValueError("an analyzer depends on a column that can't be computed")
             return known, t, out, number
         known |= solve(df, t.calls)
+        known |= {k: known[twin] for k, twin in t.aliases.items()}
     raise ValueError("the analysis needs more than 100 phases")
 
 

@@ -47,7 +47,7 @@ def _one_row(df: DataFrame, fn) -> DataFrame:
 
 
 def _r(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits)
+    return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
 # -- numeric analyzers -------------------------------------------------------------
@@ -56,7 +56,7 @@ def _r(c: Column, digits: int = 6) -> Column:
 @query("""
     SELECT min(l_quantity) AS qty_min, max(l_quantity) AS qty_max, sum(l_quantity) AS qty_sum, count(l_quantity) AS qty_size,
            round(avg(l_extendedprice), 4) AS price_mean, round(var_pop(l_extendedprice), 0) AS price_var,
-           min(l_linenumber) AS line_min, max(l_linenumber) AS line_max, sum(l_linenumber) AS line_sum,
+           min(l_linenumber) AS line_min, max(l_linenumber) AS line_max, sum(l_linenumber)::BIGINT AS line_sum,
            round(avg(l_discount), 8) AS discount_mean, round(var_pop(l_tax), 8) AS tax_var FROM lineitem""")
 def analyzers_numeric(spark, sf_dir):
     def fn(x):
@@ -214,7 +214,7 @@ def tukey_parameters(spark, sf_dir):
 
 @query("""
     WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd, min(l_tax) AS tl, max(l_tax) AS th FROM lineitem)
-    SELECT l_orderkey, l_linenumber, round((l_extendedprice - lo) / (hi - lo), 3) AS unit, round((l_quantity - m) / sd, 4) AS z, round((l_tax - tl) / (th - tl) * 2 - 1, 3) AS sym FROM lineitem, s""")
+    SELECT l_orderkey, l_linenumber, round((((l_extendedprice::FLOAT - lo::FLOAT)::DOUBLE / (hi::FLOAT - lo::FLOAT)::DOUBLE))::FLOAT::DOUBLE, 3) AS unit, round((l_quantity - m) / sd, 4) AS z, round((((l_tax::FLOAT - tl::FLOAT)::DOUBLE / (th::FLOAT - tl::FLOAT)::DOUBLE) * 2.0::DOUBLE - 1.0::DOUBLE)::FLOAT::DOUBLE, 3) AS sym FROM lineitem, s""")
 def scale_global(spark, sf_dir):
     def fn(x):
         return {"unit": _r(M.scale_to_0_1(x["l_extendedprice"]), 3), "z": _r(M.scale_to_z_score(x["l_quantity"]), 4), "sym": _r(M.scale_by_min_max(x["l_tax"], -1, 1), 3)}
@@ -224,7 +224,7 @@ def scale_global(spark, sf_dir):
 
 @query("""
     WITH s AS (SELECT c_mktsegment AS k, min(c_acctbal) AS lo, max(c_acctbal) AS hi, avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM customer GROUP BY 1)
-    SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 3) AS unit, round((c_acctbal - m) / sd, 4) AS z FROM customer JOIN s ON k = c_mktsegment""")
+    SELECT c_custkey, round((((c_acctbal::FLOAT - lo::FLOAT)::DOUBLE / (hi::FLOAT - lo::FLOAT)::DOUBLE))::FLOAT::DOUBLE, 3) AS unit, round((c_acctbal - m) / sd, 4) AS z FROM customer JOIN s ON k = c_mktsegment""")
 def scale_per_key(spark, sf_dir):
     def fn(x):
         return {"unit": _r(M.scale_to_0_1_per_key(x["c_acctbal"], x["c_mktsegment"]), 3), "z": _r(M.scale_to_z_score_per_key(x["c_acctbal"], x["c_mktsegment"]), 4)}
@@ -285,7 +285,7 @@ def apply_buckets(spark, sf_dir):
 @query("""
     WITH b AS (SELECT p_partkey, (SELECT count(*) FROM range(1, 5) r(i) WHERE (10.0 * i - 0.0001)::FLOAT::DOUBLE < p_size) AS bin, p_type FROM part),
     h AS (SELECT bin, count(*) AS n FROM b GROUP BY 1), c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), t AS (SELECT count(*) AS n FROM part)
-    SELECT p_partkey, round(h.n / t.n::DOUBLE / 10.0, 6) AS density, round(c.n / t.n::DOUBLE, 6) AS mass FROM b JOIN h USING (bin) JOIN c USING (p_type), t""")
+    SELECT p_partkey, round((h.n / t.n::DOUBLE / 10.0::DOUBLE)::FLOAT::DOUBLE, 6) AS density, round((c.n / t.n::DOUBLE)::FLOAT::DOUBLE, 6) AS mass FROM b JOIN h USING (bin) JOIN c USING (p_type), t""")
 def probability_density(spark, sf_dir):
     def fn(x):
         return {
@@ -405,7 +405,7 @@ def _ids(x: Column) -> Column:
     return F.transform(_tokens(x), lambda t: F.length(t) % 30)
 
 
-@query(f"WITH {_IDS_SQL} SELECT conv_id, turn, e.id::BIGINT AS id, round(count(*) / max(n)::DOUBLE * (ln((max(docs) + 1.0) / (max(df) + 1.0)) + 1), 4) AS weight FROM e JOIN df USING (id), size GROUP BY 1, 2, 3")
+@query(f"WITH {_IDS_SQL} SELECT conv_id, turn, e.id::BIGINT AS id, round((count(*) / max(n)::DOUBLE * (ln((max(docs) + 1.0::DOUBLE) / (max(df) + 1.0::DOUBLE)) + 1)::FLOAT::DOUBLE)::FLOAT::DOUBLE, 4) AS weight FROM e JOIN df USING (id), size GROUP BY 1, 2, 3")
 def tfidf(spark, sf_dir):
     def fn(x):
         i, w = M.tfidf(_ids(x["text"]), 30)
@@ -415,7 +415,7 @@ def tfidf(spark, sf_dir):
     return out.select("conv_id", "turn", F.explode("z").alias("z")).select("conv_id", "turn", "z.id", _r(F.col("z.weight"), 4).alias("weight"))
 
 
-@query(f"WITH {_IDS_SQL} SELECT conv_id, turn, count(*) AS n, sum(df)::BIGINT AS df, round(sum(ln((docs + 1.0) / (df + 1.0)) + 1), 2) AS idf FROM e JOIN df USING (id), size GROUP BY 1, 2")
+@query(f"WITH {_IDS_SQL} SELECT conv_id, turn, count(*) AS n, sum(df)::BIGINT AS df, round(sum((ln((docs + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1)::FLOAT::DOUBLE), 2) AS idf FROM e JOIN df USING (id), size GROUP BY 1, 2")
 def document_frequency(spark, sf_dir):
     def fn(x):
         ids = _ids(x["text"])
@@ -451,8 +451,8 @@ def text_arrays(spark, sf_dir):
 @query("""
     WITH s AS (SELECT avg(l_quantity) AS m, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
     v AS (SELECT l_returnflag AS f, row_number() OVER (ORDER BY count(*) DESC, l_returnflag DESC) - 1 AS i FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, l_linenumber, round(l_quantity - m, 4) AS x_centered, round((l_extendedprice - lo) / (hi - lo), 3) AS y_normalized,
-           i AS s_integerized, round((l_quantity - m) * (l_extendedprice - lo) / (hi - lo), 2) AS product FROM lineitem JOIN v ON f = l_returnflag, s""")
+    SELECT l_orderkey, l_linenumber, round(l_quantity - m, 4) + 0.0 AS x_centered, round((((l_extendedprice::FLOAT - lo::FLOAT)::DOUBLE / (hi::FLOAT - lo::FLOAT)::DOUBLE))::FLOAT::DOUBLE, 3) AS y_normalized,
+           i AS s_integerized, round((l_quantity - m) * ((l_extendedprice - lo) / (hi - lo)), 2) + 0.0 AS product FROM lineitem JOIN v ON f = l_returnflag, s""")
 def flagship(spark, sf_dir):
     def fn(x):
         centred = x["l_quantity"] - A.mean(x["l_quantity"])

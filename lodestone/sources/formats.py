@@ -1,0 +1,89 @@
+"""Readers and writers, and the two record encodings."""
+
+from __future__ import annotations
+
+import csv
+import io
+import struct
+from collections.abc import Iterable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import functions as F
+
+
+def read(spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None, **options) -> DataFrame:
+    """parquet, orc, csv, json or text; give a schema to csv and json, or the data is read twice."""
+    reader = spark.read.format(format).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
+def write(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists", **options) -> None:
+    df.write.format(format).mode(mode).options(**options).partitionBy(*partition_by).save(path)
+
+
+def encode_csv(df: DataFrame, columns: Sequence[str] | None = None, delimiter: str = ",", secondary_delimiter: str = "|") -> DataFrame:
+    """One string column of CSV lines; arrays are joined by the secondary delimiter; a missing value is empty."""
+    names = list(columns or df.columns)
+    plain = [F.array_join(F.col(n).cast("array<string>"), secondary_delimiter) if isinstance(df.schema[n].dataType, T.ArrayType) else F.col(n).cast("string") for n in names]
+
+    @F.pandas_udf("string")
+    def line(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in rows.itertuples(index=False):
+            s = io.StringIO()
+            csv.writer(s, delimiter=delimiter, lineterminator="").writerow(["" if v is None else v for v in r])
+            out.append(s.getvalue())
+        return pd.Series(out)
+
+    return df.select(line(F.struct(*[p.alias(n) for p, n in zip(plain, names)])).alias("value"))
+
+
+def _varint(n: int) -> bytes:
+    n &= (1 << 64) - 1
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes(out) + bytes([n])
+
+
+def _message(number: int, body: bytes) -> bytes:
+    return _varint(number << 3 | 2) + _varint(len(body)) + body
+
+
+def example_bytes(features: dict[str, Iterable]) -> bytes:
+    """A record of named lists of bytes, floats or integers in protocol-buffer wire format (map field 1; lists 1, 2, 3)."""
+    body = b""
+    for name in sorted(features):
+        values = list(features[name])
+        if values and isinstance(values[0], (str, bytes)):
+            kind = _message(1, b"".join(_message(1, v.encode() if isinstance(v, str) else v) for v in values))
+        elif values and isinstance(values[0], float):
+            kind = _message(2, _message(1, struct.pack(f"<{len(values)}f", *values)))
+        elif values:
+            kind = _message(3, _message(1, b"".join(map(_varint, values))))
+        else:
+            kind = b""
+        body += _message(1, _message(1, name.encode()) + _message(2, kind))
+    return _message(1, body)
+
+
+def encode_examples(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    """One binary column of records; scalars are lists of one, a null is an empty list."""
+    names = [c for c in df.columns if c not in exclude]
+    real = {n for n in names if df.schema[n].dataType.simpleString().removeprefix("array<").rstrip(">") in ("float", "double")}
+
+    @F.pandas_udf("binary")
+    def encode(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in rows.itertuples(index=False):
+            features = {}
+            for n, v in zip(names, r):
+                items = [] if v is None or v is pd.NaT else list(v) if not isinstance(v, (str, bytes)) and hasattr(v, "__iter__") else [v]
+                items = [i for i in items if i is not None]
+                features[n] = [float(i) for i in items] if n in real else [i if isinstance(i, (str, bytes)) else int(i) for i in items]
+            out.append(example_bytes(features))
+        return pd.Series(out)
+
+    return df.select(encode(F.struct(*names)).alias("value"))

@@ -158,9 +158,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     gone = removals(docs)
     names = [c for c in docs.columns if c not in ("text", "removed_lines")]
-    renamed = gone.select(F.col("id").alias("_r_id"), F.col("th").alias("_r_th"), F.col("chunks").alias("_r_chunks"))
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    joined = own.join(_small(renamed, renamed.count()), F.col("_th").eqNullSafe(F.col("_r_th")) & own["doc_id"].eqNullSafe(F.col("_r_id")), "left")
+    renamed = gone.select(F.col("id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("chunks").alias("__r_chunks"))
+    own = docs.withColumn("__th", F.xxhash64("text"))
+    joined = own.join(_small(renamed, renamed.count()), F.col("__th").eqNullSafe(F.col("__r_th")) & own["doc_id"].eqNullSafe(F.col("__r_id")), "left")
     rest = [docs.schema[c] for c in names]
     schema = "text string, removed_lines int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return joined.select("text", "_r_chunks", *names).mapInArrow(_rebuild, schema).select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    return joined.select("text", "__r_chunks", *names).mapInArrow(_rebuild, schema).select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")

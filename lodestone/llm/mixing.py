@@ -138,7 +138,7 @@ def mixture(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mixture() chooses, with all their columns."""
-    keys = mixture(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"))
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    match = own["_th"].eqNullSafe(keys["_h"]) & own["doc_id"].eqNullSafe(keys["_id"]) & own["source"].eqNullSafe(keys["_s"])
-    return own.join(keys.hint("shuffle_hash"), match, "left_semi").drop("_th")
+    keys = mixture(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"))
+    own = docs.withColumn("__th", F.xxhash64("text"))
+    match = own["__th"].eqNullSafe(keys["__h"]) & own["doc_id"].eqNullSafe(keys["__id"]) & own["source"].eqNullSafe(keys["__s"])
+    return own.join(keys.hint("shuffle_hash"), match, "left_semi").drop("__th")

@@ -279,9 +279,9 @@ def one_of_each(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFram
     agree in doc_id and text one stays.
     """
     roots = components(similar_pairs(docs, n, threshold).select("a", "b"))
-    again = written(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "join-again")
-    kept = docs.join(roots.select("node"), F.col("doc_id") == F.col("node"), "left_anti")
+    again = written(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again")), "join-again")
+    kept = docs.join(roots.select(F.col("node").alias("__node")), F.col("doc_id") == F.col("__node"), "left_anti")
     if again.isEmpty():
         return kept
-    unique = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return unique.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    unique = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return unique.unionByName(kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))

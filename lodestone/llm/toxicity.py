@@ -29,6 +29,8 @@ FEATURES = 4096
 #: A feature must be in so many labelled documents, and its shares among toxic and other ones so many deviations apart.
 LEAST_DOCS, LEAST_Z = 3, 4.0
 PREFIX = 4
+#: The bias is at most this, so a document without any telling feature isn't rejected whatever the labels' share.
+MOST_BIAS = -1.0
 IDENTITY = (
     "women men woman man girls boys gay lesbian straight bisexual transgender queer muslim muslims christian christians jewish jews "
     "hindu buddhist atheist black white asian african european american mexican arab immigrant immigrants refugee refugees disabled "
@@ -153,6 +155,7 @@ def train(
             for more, less in zip(pdf["more"], pdf["less"]):
                 diffs += [(np.asarray(g, int), np.asarray(l, int)) for g, l in zip(more, less) if len(g) + len(l)]
         w = fit_logistic(x, np.asarray(y, float), diffs, len(names), fairness)
+        w[-1] = min(w[-1], MOST_BIAS)
         yield pd.DataFrame({"f": [*names, ""], "w": w})
 
     encoded = texts.mapInArrow(rows, "x array<int>, y int, more array<array<int>>, less array<array<int>>")
@@ -192,8 +195,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of docs whose score is below the threshold, with docs' columns."""
     names = docs.columns
-    bare = docs.drop("toxicity") if "toxicity" in names else docs
-    if "toxicity" in names:
-        bare = bare.withColumn("_own_toxicity", docs["toxicity"])
+    bare = docs.withColumnRenamed("toxicity", "__own_toxicity")
     out = scored(bare, train(docs, labels, **options)).filter(F.col("toxicity") < threshold).drop("toxicity")
-    return out.withColumnRenamed("_own_toxicity", "toxicity").select(*names)
+    return out.withColumnRenamed("__own_toxicity", "toxicity").select(*names)

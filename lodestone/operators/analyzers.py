@@ -173,7 +173,8 @@ def _mean_and_var(x: Column, elementwise: bool, name: str | None) -> Any:
         return exploded(df, [x], ["x"], elementwise).groupBy(*keys).agg(*[a.alias(n) for n, a in _moments(F.col("x")).items()])
 
     def finish(parts: DataFrame) -> Any:
-        rows = [(r["mean"], r["var"]) for r in _merge_moments(parts, keys).orderBy(*keys).collect()]  # one row for each position
+        merged = _merge_moments(parts, keys)
+        rows = [(r["mean"], r["var"]) for r in (merged.orderBy(*keys) if keys else merged).collect()]  # one row for each position
         return rows if elementwise else rows[0] if rows else (0.0, 0.0)
 
     def state():

@@ -1,0 +1,285 @@
+"""Golden cases, plans, cache, storage and streams of the analysis engine."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import lodestone.api as api
+from lodestone import schema as S
+from lodestone.functions import columns as C
+from lodestone.operators import analyzers as A
+from lodestone.operators import gauss
+from lodestone.operators import mappers as M
+from lodestone.operators.vocabulary import EMPTY_TOKEN, expected_information, recommended_min_diff, vocabulary
+from lodestone.plans import inspect, trace
+from lodestone.plans.cache import AnalysisCache
+from lodestone.sources import formats
+from lodestone.streaming.apply import write_stream
+
+
+def run(spark, rows, schema, fn, test=None):
+    df = spark.createDataFrame(rows, schema).coalesce(2)
+    found = api.analyze(df, fn)
+    return [r.asDict() for r in found.transform(spark.createDataFrame(test, schema) if test is not None else df).collect()]
+
+
+def column(spark, rows, schema, fn, test=None):
+    return [r["o"] for r in run(spark, rows, schema, lambda x: {"o": fn(x)}, test)]
+
+
+XY = [(4.0, 5.0), (1.0, 2.0), (5.0, 6.0), (2.0, 3.0)]
+
+
+def test_scale_whole_vector_and_elementwise(spark):
+    rows = [([a, b],) for a, b in XY]
+    assert np.allclose(column(spark, rows, "v array<float>", lambda x: M.scale_to_0_1(x["v"])), [[0.6, 0.8], [0, 0.2], [0.8, 1], [0.2, 0.4]])
+    assert np.allclose(column(spark, rows, "v array<float>", lambda x: M.scale_to_0_1(x["v"], elementwise=True)), [[0.75] * 2, [0] * 2, [1] * 2, [0.25] * 2])
+    got = column(spark, [([1.0, 2.0],), ([3.0, 4.0],)], "v array<float>", lambda x: M.scale_to_z_score(x["v"]))
+    assert np.allclose(got, np.array([[-3, -1], [1, 3]]) / math.sqrt(5))
+    assert np.allclose(column(spark, [([1.0, 2.0],), ([3.0, 4.0],)], "v array<float>", lambda x: M.scale_to_z_score(x["v"], True)), [[-1, -1], [1, 1]])
+
+
+def test_scale_per_key(spark):
+    rows = [([a, b], "a") for a, b in XY] + [([25.0, -25.0], "b"), ([5.0, 0.0], "b")]
+    got = column(spark, rows, "v array<float>, k string", lambda x: M.scale_to_0_1_per_key(x["v"], x["k"]))
+    assert np.allclose(got, [[0.6, 0.8], [0, 0.2], [0.8, 1], [0.2, 0.4], [1, 0], [0.6, 0.5]])
+    got = column(spark, rows, "v array<float>, k string", lambda x: M.scale_to_0_1_per_key(x["v"], x["k"], elementwise=True))
+    assert np.allclose(got[4:], [[1, 0], [0, 1]])
+
+
+def test_scale_edges(spark):
+    assert np.allclose(column(spark, [], "x float", lambda x: M.scale_by_min_max(x["x"]), [(100.0,), (1.0,), (12.0,)]), [1.0, 0.7310585, 0.9999938])
+    assert column(spark, [(3,)] * 4, "x int", lambda x: M.scale_to_z_score(x["x"])) == [0.0] * 4
+    nan = float("nan")
+    got = column(spark, [(1.0,), (nan,), (nan,), (2.0,)], "x double", lambda x: M.scale_to_z_score(x["x"]))
+    assert got[0] == -1 and got[3] == 1 and math.isnan(got[1])
+    assert column(spark, [(7.0, "a")], "x double, k string", lambda x: M.scale_to_z_score_per_key(x["x"], x["k"]), [(5.0, "new")]) == [5.0]
+    with pytest.raises(ValueError):
+        column(spark, XY, "x double, y double", lambda x: M.scale_by_min_max(x["x"], 1, 1))
+
+
+def test_two_phases_share_one_job_each(spark):
+    df = spark.createDataFrame([(x,) for x, _ in XY], "x double")
+
+    def fn(x):
+        c = x["x"] - A.min(x["x"])
+        return {"o": c / A.max(c)}
+
+    found = api.analyze(df, fn)
+    assert found.phases == 2 and [r.o for r in found.transform(df).collect()] == [0.75, 0, 1, 0.25]
+
+
+def test_empty_defaults(spark):
+    got = run(spark, [], "x float, i int, s string", lambda x: {"a": A.min(x["x"]), "b": A.max(x["x"]), "c": A.min(x["i"]), "d": A.max(x["i"]), "e": A.sum(x["i"]), "f": A.mean(x["x"]), "g": A.var(x["x"]), "h": A.size(x["x"])}, [(1.0, 1, "")])[0]
+    assert got == {"a": math.inf, "b": -math.inf, "c": 2**31 - 1, "d": -(2**31 - 1), "e": 0, "f": 0.0, "g": 0.0, "h": 0}
+
+
+@pytest.mark.parametrize(("n", "b", "want"), [(300, 5, [61, 121, 181, 241]), (100, 3, [34, 67]), (4, 2, [3]), (4, 4, [2, 3, 4]), (4, 5, [1, 2, 3, 4]), (4, 10, [1, 1, 2, 2, 3, 3, 3, 4, 4]), (2999, 2, [1500]), (0, 5, [0, 0, 0, 0])])
+def test_quantiles(spark, n, b, want):
+    rows = [(float(i),) for i in range(1, n + 1)]
+    assert column(spark, rows, "x double", lambda x: A.quantiles(x["x"], b), [(1.0,)])[0] == want
+
+
+def test_quantiles_per_key_and_weights(spark):
+    rows = [(float(i), "a" if i < 50 else "b", 0.0 if 25 <= i < 75 else 1.0) for i in range(1, 100)]
+    got = {}
+
+    def fn(x):
+        got["plain"] = A.quantiles_per_key(x["x"], x["k"], 3)
+        got["weighted"] = A.quantiles_per_key(x["x"], x["k"], 3, x["w"])
+        return {"o": M.bucketize_per_key(x["x"], x["k"], 3)}
+
+    df = spark.createDataFrame(rows, "x double, k string, w double")
+    found = api.analyze(df, fn)
+    assert {r.key: r.bounds for r in got["plain"].collect()} == {"a": [17, 33], "b": [66, 83]}
+    assert {r.key: r.bounds for r in got["weighted"].collect()} == {"a": [9, 17], "b": [83, 91]}
+    assert found.transform(spark.createDataFrame([(1.0, "new", 1.0)], df.schema)).first().o == -1
+
+
+def test_buckets(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(v,) for v in (4.0, nan, -inf, 7.5, 10.0, None)]
+    assert column(spark, rows, "x double", lambda x: M.apply_buckets(x["x"], [2, 5, 8])) == [1, 3, 0, 2, 3, None]
+    rows = [(float(v),) for v in (-1111, 10, 50, 100, 1000, 9000, 10000, 1293817391)]
+    got = column(spark, rows, "x double", lambda x: M.apply_buckets_with_interpolation(x["x"], [10, 100, 1000, 10000]))
+    assert np.allclose(got, [0, 0, 4 / 27, 1 / 3, 2 / 3, 26 / 27, 1, 1])
+    with pytest.raises(ValueError):
+        column(spark, rows, "x double", lambda x: M.apply_buckets_with_interpolation(x["x"], [inf]))
+
+
+def test_histogram_and_density(spark):
+    tens = [float(i) for i in range(0, 101, 10)]
+    assert column(spark, [(float(i),) for i in range(10, 100)], "x double", lambda x: A.histogram(x["x"], tens)[0])[0] == [0] + [10] * 9
+    assert np.allclose(column(spark, [(float(i),) for i in range(100)], "x double", lambda x: M.estimated_probability_density(x["x"], tens)), 0.01)
+
+
+MI_TOKENS = ["informative"] * 3 + ["uninformative"] * 4 + ["uninformative_rare"] * 2
+
+
+def vocab(spark, rows, schema, make):
+    got = {}
+
+    def fn(x):
+        got["v"] = make(x)
+        return {"o": F.lit(1)}
+
+    api.analyze(spark.createDataFrame(rows, schema), fn)
+    return [(r.token, r.value) for r in got["v"].table.orderBy("index").collect()], got["v"].size
+
+
+def test_vocabulary_order_thresholds_and_reserved(spark):
+    words = [(w,) for w in ["hello"] * 3 + ["goodbye"] * 2 + ["world", " ", "", "a\nb"]]
+    assert vocab(spark, words, "s string", lambda x: vocabulary(x["s"]))[0] == [("hello", 3), ("goodbye", 2), ("world", 1), (" ", 1)]
+    assert vocab(spark, words, "s string", lambda x: vocabulary(x["s"], top_k=1, frequency_threshold=2))[0] == [("hello", 3)]
+    rows = [(w,) for w in ["hello", "world", "world", "42", "42", "42", "a"]]
+    got, size = vocab(spark, rows, "s string", lambda x: vocabulary(x["s"], reserved_tokens=["a", "b", "c"]))
+    assert got == [("a", -1), ("b", -1), ("c", -1), ("42", 3), ("world", 2), ("hello", 1)] and size == 6
+    assert vocab(spark, [], "s string", lambda x: vocabulary(x["s"])) == ([(EMPTY_TOKEN, 0)], 1)
+    for bad in ({"top_k": 0}, {"frequency_threshold": -1}, {"coverage_top_k": 1}, {"file_format": "x"}):
+        with pytest.raises(ValueError):
+            vocab(spark, words, "s string", lambda x, bad=bad: vocabulary(x["s"], **bad))
+
+
+def test_mutual_information(spark):
+    rows = list(zip(MI_TOKENS, [1, 1, 1, 0, 1, 1, 0, 0, 1]))
+    got, _ = vocab(spark, rows, "s string, y int", lambda x: vocabulary(x["s"], labels=x["y"], min_diff_from_avg=0.0))
+    assert [t for t, _ in got] == ["informative", "uninformative", "uninformative_rare"] and np.allclose([v for _, v in got], [1.7548264, 0.33985, 0.169925], atol=1e-5)
+    tokens = ["hello"] * 3 + ["goodbye"] + ["aaaaa"] * 2 + ["goodbye"] * 2 + ["aaaaa"] * 2 + ["goodbye"] * 2
+    rows = list(zip(tokens, [1, 1, 1, 1, 1, 1, 0, 0, 1, 1, 1, 0]))
+    got, _ = vocab(spark, rows, "s string, y int", lambda x: vocabulary(x["s"], labels=x["y"], min_diff_from_avg=0.0))
+    assert np.allclose([v for _, v in got], [1.9753224, 1.6600707, 1.2450531], atol=1e-5)
+    got, _ = vocab(spark, rows, "s string, y int", lambda x: vocabulary(x["s"], labels=x["y"], min_diff_from_avg=0.0, use_adjusted_mutual_info=True))
+    assert np.allclose([v for _, v in got], [1.4070794, 0.9987448, 0.5017178], atol=1e-5)
+    got, _ = vocab(spark, rows, "s string, y int", lambda x: vocabulary(x["s"], labels=x["y"], min_diff_from_avg=2.0))
+    assert got == [("hello", 0), ("goodbye", 0), ("aaaaa", 0)]
+    assert expected_information(0, 1, 2) == 0 and [recommended_min_diff(n) for n in (10, 10**4, 10**6, 10**9)] == [2, 2, 25, 25]
+
+
+def test_coverage(spark):
+    rows = [(s.split(" "),) for s in ("1_X_a 1_X_a 2_X_a 1_X_b 2_X_b", "1_X_a 1_X_a 2_X_a 2_X_a", "2_X_b 3_X_c 4_X_c")]
+    make = lambda x: vocabulary(x["s"], coverage_top_k=1, frequency_threshold=4, key_fn=lambda t: F.element_at(F.split(t, "_X_"), 2))
+    assert vocab(spark, rows, "s array<string>", make)[0] == [("1_X_a", 4), ("2_X_b", 2), ("4_X_c", 1)]
+
+
+def test_apply_vocabulary_to_arrays(spark, monkeypatch):
+    rows = [(["a", "b", "a"],), ([],), (["c", None],), (None,)]
+    for limit in (10**6, 0):  # by dictionary and by join
+        monkeypatch.setattr(M, "DICT_ROWS", limit)
+        got = column(spark, rows, "s array<string>", lambda x: M.compute_and_apply_vocabulary(x["s"], top_k=2))
+        assert got == [[0, -1, 0], [], [1, -1], None]
+    got = column(spark, [("a",), ("b",)], "s string", lambda x: M.compute_and_apply_vocabulary(x["s"], num_oov_buckets=3), [("a",), ("zz",)])
+    assert got[0] == 1 and 2 <= got[1] < 5
+
+
+def test_tfidf(spark):
+    rows = [([2, 2, 0],), ([2, 6, 2, 0],), ([8, 10, 12, 12, 12],)]
+    got = run(spark, rows, "x array<bigint>", lambda x: dict(zip(("i", "w"), M.tfidf(x["x"], 13))))
+    assert [r["i"] for r in got] == [[0, 2], [0, 2, 6], [8, 10, 12]]
+    one, two = 1 + math.log(4 / 2), 1 + math.log(4 / 3)
+    assert np.allclose(got[0]["w"], [two / 3, two * 2 / 3]) and np.allclose(got[1]["w"], [two / 4, two / 2, one / 4])
+    assert column(spark, rows, "x array<bigint>", lambda x: M.document_frequency(x["x"], 13)) == [[2, 2, 2], [2, 1, 2, 2], [1, 1, 1, 1, 1]]
+
+
+def test_text_columns(spark):
+    df = spark.createDataFrame([(["One", "was", "Johnny"],), ([],), (None,)], "t array<string>")
+    got = df.select(C.ngrams(F.col("t"), (1, 3)).alias("g"), C.word_count(F.col("t")).alias("n")).collect()
+    assert got[0].g == ["One", "One was", "One was Johnny", "was", "was Johnny", "Johnny"] and [r.n for r in got] == [3, 0, 0] and got[1].g == []
+    with pytest.raises(ValueError):
+        C.ngrams(F.col("t"), (0, 1))
+    s = spark.createDataFrame([([0, 0, 1, 2, 2, 2],)], "s array<int>").select(C.segment_indices(F.col("s")).alias("o")).first().o
+    assert s == [0, 1, 0, 0, 1, 2]
+    p = spark.createDataFrame([([5], [None, 3, None, 4])], "a array<int>, b array<int>").select(C.pad(F.col("a"), 3, 0).alias("p"), C.left_align(F.col("b")).alias("l"), S.true_sparse(F.col("b")).alias("t")).first()
+    assert p.p == [5, 0, 0] and p.l == [3, 4] and p.t.indices == [1, 3]
+
+
+def test_covariance_and_pca(spark):
+    rows = [(v,) for v in ([0.0, 0.0], [4.0, 0.0], [2.0, -2.0], [2.0, 2.0])]
+    assert column(spark, rows, "v array<float>", lambda x: A.covariance(x["v"]))[0] == [[2, 0], [0, 2]]
+    rows = [(v,) for v in ([0.0, 0.0, 1.0], [4.0, 0.0, 1.0], [2.0, -1.0, 1.0], [2.0, 1.0, 1.0])]
+    assert np.allclose(np.abs(column(spark, rows, "v array<float>", lambda x: A.pca(x["v"], 2))[0]), [[1, 0], [0, 1], [0, 0]], atol=1e-6)
+
+
+def test_tails():
+    for hl, hr in ((0.1, 0.3), (0.25, 0.25), (0.4, 0.05)):
+        _, l2, l3, l4 = gauss.l_moments_of(hl, hr)
+        assert np.allclose(gauss.solve_h(l3 / l2, l4 / l2), (hl, hr), atol=1e-3)
+        z = np.linspace(-3, 3, 13)
+        assert np.allclose(gauss.inverse(z * np.exp(np.where(z < 0, hl, hr) * z * z / 2), hl, hr), z, atol=1e-6)
+    assert gauss.solve_h(0.0, 0.1) == (0.0, 0.0)
+    _, l2, _, l4 = gauss.l_moments_of(0, 0)
+    assert abs(l2 - 1 / math.sqrt(math.pi)) < 1e-9 and abs(l4 / l2 - gauss.NORMAL_L_KURTOSIS) < 1e-6
+
+
+def test_one_scan_for_each_phase(spark, tmp_path):
+    spark.range(100).selectExpr("cast(id AS double) AS x", "cast(id % 3 AS string) AS s", "id AS unused").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = api.analyze(df, lambda x: {"o": M.scale_to_z_score(x["x"]), "s": M.compute_and_apply_vocabulary(x["s"])})
+    plan = found.transform(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [x") == 1 and "unused" not in plan and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def fn_for_storage(x):
+    return {"z": M.scale_to_z_score(x["x"]), "s": M.compute_and_apply_vocabulary(x["s"], vocab_filename="words"), "b": M.bucketize(x["x"], 4, name="b"), "k": M.scale_to_0_1_per_key(x["x"], x["s"])}
+
+
+def test_save_load_cache_and_stream(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), "abc"[i % 3]) for i in range(30)], "x double, s string")
+    found = api.analyze(df, fn_for_storage)
+    want = sorted(map(tuple, found.transform(df).collect()))
+    found.save(spark, str(tmp_path / "saved"))
+    again = api.Transform.load(spark, str(tmp_path / "saved"))
+    assert sorted(map(tuple, again.transform(df).collect())) == want
+    assert again.vocabulary_by_name("words") == ["c", "b", "a"] and again.vocabulary_size_by_name("words") == 3 and again.num_buckets(spark, "b") == 4
+    assert spark.read.text(again.vocabulary_file_by_name("words")).count() == 3
+
+    cache = AnalysisCache(spark, str(tmp_path / "cache"))
+    spans = {"one": df.filter("x < 11"), "two": df.filter("x >= 11")}
+    assert sorted(map(tuple, api.analyze_with_cache(spans, fn_for_storage, cache).transform(df).collect())) == want
+    misses = cache.misses
+    assert sorted(map(tuple, api.analyze_with_cache({"one": None, "two": spans["two"]}, fn_for_storage, cache).transform(df).collect())) == want
+    assert cache.misses == misses and cache.entry_keys("one")
+
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    write_stream(stream, again, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("z", "s", "b", "k").collect())) == want
+
+
+def test_columns_used_and_passthrough(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a", 9)], "x double, y double, s string, id int")
+    fn = lambda c: {"o": c["x"] - A.mean(c["y"]), "v": M.compute_and_apply_vocabulary(c["s"])}
+    schema = df.drop("id").schema
+    assert inspect.analyze_input_columns(spark, schema, fn) == ["y", "s"]
+    assert inspect.transform_input_columns(spark, schema, fn) == ["x", "s"]
+    out, found = api.fit_transform(df, fn, ["id"])
+    assert out.columns == ["id", "o", "v"] and found.transform(df.drop("id"), exclude_outputs=["v"]).columns == ["o"]
+    with pytest.raises(ValueError):
+        api.without_analysis(schema, fn, spark)
+    with pytest.raises(ValueError):
+        trace.phases(df, lambda c: {})
+
+
+def test_custom_analyzers(spark):
+    rows = [(float(i),) for i in range(5)]
+    assert column(spark, rows, "x double", lambda x: (lambda r: r[0] if isinstance(r, tuple) else r)(A.custom([x["x"]], lambda d: d.selectExpr("max(c0) - min(c0)"))))[0] == 4.0
+    mine = A.CacheableAnalyzer(lambda d: d.selectExpr("sum(c0) AS s", "count(c0) AS n"), lambda p: p.selectExpr("sum(s) AS s", "sum(n) AS n"), lambda r: [r.s / r.n])
+    assert column(spark, rows, "x double", lambda x: (lambda r: r[0] if isinstance(r, tuple) else r)(mine(x["x"])))[0] == 2.0
+
+
+def test_schema_round_trip():
+    specs = {"a": S.FixedLen("int64"), "v": S.FixedLen("float32", (3,)), "w": S.VarLen("string"), "r": S.Ragged("int64"), "s": S.Sparse(("i", "j"), "val", "float32", (4, 5))}
+    schema = S.schema_of(specs, {"a": S.Domain(0, 9, True)})
+    assert S.specs_of(schema) == specs and S.domains_of(schema) == {"a": S.Domain(0, 9, True)}
+    for bad in (lambda: S.schema_of({}), lambda: S.schema_of({"x": S.FixedLen("bool")})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_encodings(spark):
+    df = spark.createDataFrame([(1, "a,b", [1.5, 2.0], None), (2, None, [], ["x", "y"])], "i bigint, s string, f array<float>, w array<string>")
+    assert [r.value for r in formats.encode_csv(df).collect()] == ['1,"a,b",1.5|2.0,', "2,,,x|y"]
+    raw = formats.encode_examples(df.select("i")).collect()
+    assert [bytes(r.value) for r in raw] == [formats.example_bytes({"i": [k]}) for k in (1, 2)]
+    assert formats.example_bytes({"i": [1]}) == bytes.fromhex("0a0c0a0a0a016912051a030a0101")

@@ -225,7 +225,7 @@ def _joined_array(tokens: Column, table: DataFrame) -> Column:
     t = Trace.current()
     distinct = written(t.df.select(tokens.alias("a")).filter("a IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()), "arrays")
     flat = distinct.select("id", F.posexplode_outer("a").alias("pos", "token")).join(table.select("token", "index"), "token", "left")
-    back = flat.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "index"))).alias("z")).select("id", F.col("z.index").alias("found"))
+    back = flat.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "index")))).alias("z")).select("id", F.col("z.index").alias("found"))
     got = t.join(tokens, written(distinct.join(back, "id").select("a", "found"), "array-index"), ["found"])
     return got["found"]
 

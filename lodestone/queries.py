@@ -171,14 +171,14 @@ def quantiles_per_key(spark, sf_dir):
 
 
 _VECTOR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-_COV_SQL = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop({a}, {b}), 4) AS cov FROM lineitem" for i, a in enumerate(_VECTOR) for j, b in enumerate(_VECTOR) if (i, j) != (1, 1))
+_COV_SQL = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop({a}, {b}), 4) + 0.0 AS cov FROM lineitem" for i, a in enumerate(_VECTOR) for j, b in enumerate(_VECTOR) if (i, j) != (1, 1))
 
 
 @query(_COV_SQL)
 def covariance(spark, sf_dir):
     fn = lambda x: {"m": A.covariance(F.array(*[x[c] for c in _VECTOR]), "double")}
     rows = _one_row(_t(spark, sf_dir, "lineitem").select(*_VECTOR), fn).select(F.posexplode("m").alias("i", "row")).select("i", F.posexplode("row").alias("j", "cov"))
-    return rows.filter("NOT (i = 1 AND j = 1)").select("i", "j", F.round("cov", 4).alias("cov"))
+    return rows.filter("NOT (i = 1 AND j = 1)").select("i", "j", _r(F.col("cov"), 4).alias("cov"))
 
 
 @query()
@@ -451,7 +451,7 @@ def text_arrays(spark, sf_dir):
 @query("""
     WITH s AS (SELECT avg(l_quantity) AS m, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
     v AS (SELECT l_returnflag AS f, row_number() OVER (ORDER BY count(*) DESC, l_returnflag DESC) - 1 AS i FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, l_linenumber, round(l_quantity - m, 4) + 0.0 AS x_centered, round((((l_extendedprice::FLOAT - lo::FLOAT)::DOUBLE / (hi::FLOAT - lo::FLOAT)::DOUBLE))::FLOAT::DOUBLE, 3) AS y_normalized,
+    SELECT l_orderkey, l_linenumber, round(l_quantity - m, 3) + 0.0 AS x_centered, round((((l_extendedprice::FLOAT - lo::FLOAT)::DOUBLE / (hi::FLOAT - lo::FLOAT)::DOUBLE))::FLOAT::DOUBLE, 3) AS y_normalized,
            i AS s_integerized, round((l_quantity - m) * ((l_extendedprice - lo) / (hi - lo)), 2) + 0.0 AS product FROM lineitem JOIN v ON f = l_returnflag, s""")
 def flagship(spark, sf_dir):
     def fn(x):
@@ -459,7 +459,7 @@ def flagship(spark, sf_dir):
         low, high = A.min_and_max(x["l_extendedprice"])
         unit = (x["l_extendedprice"] - low) / (high - low)
         return {
-            "x_centered": _r(centred, 4), "y_normalized": _r(M.scale_to_0_1(x["l_extendedprice"]), 3),
+            "x_centered": _r(centred, 3), "y_normalized": _r(M.scale_to_0_1(x["l_extendedprice"]), 3),
             "s_integerized": M.compute_and_apply_vocabulary(x["l_returnflag"]), "product": _r(centred * unit, 2),
         }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x evaluated once: inside a lambda an expression would be evaluated again for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -49,11 +54,15 @@ def ngrams(tokens: Column, ngram_range: tuple[int, int], separator: str = " ") -
     least, most = ngram_range
     if least < 1 or most < least:
         raise ValueError(f"bad ngram_range {ngram_range}")
-    one = lambda i: F.transform(
-        F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: i + k - 1 <= F.size(tokens)),
-        lambda k: F.array_join(F.slice(tokens, i, k), separator),
-    )
-    return F.when(F.coalesce(F.size(tokens), F.lit(0)) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens)), one))).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        one = lambda i: F.transform(
+            F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: i + k - 1 <= F.size(t)),
+            lambda k: F.array_join(F.slice(t, i, k), separator),
+        )
+        return F.when(F.coalesce(F.size(t), F.lit(0)) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), one))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def bag_of_words(tokens: Column, ngram_range: tuple[int, int], separator: str = " ") -> Column:
@@ -70,16 +79,18 @@ def word_count(tokens: Column) -> Column:
 
 def segment_indices(segments: Column) -> Column:
     """For an array of segment ids, the 0-based place of each element in its run."""
-    n = F.size(segments)
-    first = lambda i: F.coalesce(
-        F.array_max(F.filter(F.sequence(F.lit(1), i), lambda j: (j == 1) | (F.get(segments, j - 1) != F.get(segments, j - 2)))), F.lit(1)
-    )
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: (i - first(i)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+    def places(v: Column) -> Column:
+        n = F.size(v)
+        first = lambda i: F.array_max(F.filter(F.sequence(F.lit(1), i), lambda j: (j == 1) | (F.get(v, j - 1) != F.get(v, j - 2))))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: (i - first(i)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(segments, places)
 
 
 def pad(x: Column, length: int, default) -> Column:
     """The first elements of an array, filled up to a fixed length."""
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.get(x, i), F.lit(default)))
+    return let(x, lambda v: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.get(v, i), F.lit(default))))
 
 
 def left_align(x: Column) -> Column:

@@ -292,10 +292,15 @@ def tfidf(x: Column, vocab_size: int, smooth: bool = True, name: str | None = No
     if got is None:
         return t.placeholder(), t.placeholder()
     n, df = got
-    pairs = F.array_sort(F.array_distinct(F.transform(F.arrays_zip(slots.alias("i"), df.alias("d")), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))))
-    count = lambda i: F.size(F.filter(slots, lambda s: s == i))
-    weight = lambda p: ((count(p["i"]) / F.size(x)).cast("double") * _idf(p["d"], n, smooth, True).cast("float")).cast("float")
-    return F.transform(pairs, lambda p: p["i"]), F.transform(pairs, weight)
+
+    def weighted(b: Column) -> Column:
+        pairs = F.array_sort(F.array_distinct(F.arrays_zip(b["i"].alias("i"), b["d"].alias("d"))))
+        count = lambda i: F.size(F.filter(b["i"], lambda s: s == i))
+        weight = lambda p: ((count(p["i"]) / F.size(b["i"])).cast("double") * _idf(p["d"], n, smooth, True).cast("float")).cast("float")
+        return F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), weight(p).alias("w")))
+
+    z = C.let(F.struct(slots.alias("i"), df.alias("d")), weighted)
+    return z["i"], z["w"]
 
 
 def get_num_buckets_for_transformed_feature(name: str) -> Column:

@@ -1,10 +1,11 @@
-"""Removal of repeated passages by content-defined chunks of lines.
-
-A rolling hash over the hashes of neighbouring lines decides where a chunk
-ends, so the same passage is cut alike wherever it stands; a long line is
-always a chunk of its own. Chunks that occur again anywhere in the corpus are
-collected in runs; a run of several lines, or one long line, is removed after
-its bytes were compared with those of the first occurrence, which stays.
+"""Removal of repeated passages of whole lines.
+
+A passage is at least two lines with RUN_WORDS words, or one line with
+LONG_WORDS. From each line the shortest passage that starts there and the
+shortest one that ends there are hashed; any longer passage is covered by the
+short ones inside it, whatever stands around it. So exactly the lines of
+passages that came before go, after the bytes were compared with those of the
+first occurrence, which stays.
 """
 
 from __future__ import annotations
@@ -13,108 +14,129 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
 
-#: Lines in the rolling hash, and one of how many positions is a boundary.
-WINDOW, ONE_IN = 2, 2
-#: A line of so many words is a chunk of its own and may go alone.
+#: A line of so many words may go alone.
 LONG_WORDS = 40
-#: Words that a run of several lines must have to go.
+#: Words that a passage of several lines must have to go.
 RUN_WORDS = 25
 #: Candidate documents whose lists a broadcast may hold; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Characters of passages that a Python worker gathers before it hands them on.
+BATCH_CHARS = 4 << 20
 
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, words) of each chunk of a text.
+    """(line, line after it, words) of each line of a text. Lines end at line feeds."""
+    return [(k, k + 1, len(x.split())) for k, x in enumerate(text.split("\n"))]
+
 
-    A chunk ends after a line if the hashes of the last WINDOW lines, or that
-    of the next line, fall on a boundary value, or if this or the next line is
-    long. Lines end at line feeds.
+def passages(count: list[int]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the shortest passages of lines with so many words, by place.
+
+    In a run of lines without words only those next to a line with words start
+    or end a passage, so a long run is not hashed again from each of its lines.
     """
-    lines = text.split("\n")
-    count = [len(x.split()) for x in lines]
-    h = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
-    out, start, rolled = [], 0, 0
-    for i in range(len(lines)):
-        rolled = sum(h[max(0, i - WINDOW + 1) : i + 1])
-        last = i + 1 == len(lines)
-        if last or rolled % ONE_IN == 0 or (h[i + 1] >> 32) % ONE_IN == 0 or count[i] >= LONG_WORDS or count[i + 1] >= LONG_WORDS:
-            out.append((start, i + 1, sum(count[start : i + 1])))
-            start = i + 1
-    return out
+    n = len(count)
+    before = [0]
+    for c in count:
+        before.append(before[-1] + c)
+    out = {(k, k + 1) for k, c in enumerate(count) if c >= LONG_WORDS}
+    end = 0
+    for start in range(n):
+        end = max(end, start + 2)
+        while end <= n and before[end] - before[start] < RUN_WORDS:
+            end += 1
+        if end > n:
+            break
+        if count[start] or count[start + 1]:
+            out.add((start, end))
+    start = 0
+    for end in range(2, n + 1):
+        while start + 1 <= end - 2 and before[end] - before[start + 1] >= RUN_WORDS:
+            start += 1
+        if before[end] - before[start] >= RUN_WORDS and (count[end - 1] or count[end - 2]):
+            out.add((start, end))
+    return sorted(out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, index, first, end, count, h = [], [], [], [], [], []
+        row, first, end, h = [], [], [], []
         for r, text in enumerate(batch.column(2).to_pylist()):
             lines = text.split("\n")
-            for k, (a, b, n) in enumerate(chunks(text)):
-                d = xxhash.xxh3_64_intdigest("\n".join(lines[a:b]).encode("utf-8", "surrogatepass"))
+            digests = b"".join(xxhash.xxh3_64_digest(x.encode("utf-8", "surrogatepass")) for x in lines)
+            for a, b in passages([len(x.split()) for x in lines]):
+                d = xxhash.xxh3_64_intdigest(digests[8 * a : 8 * b])
                 row.append(r)
-                index.append(k)
                 first.append(a)
                 end.append(b)
-                count.append(n)
                 h.append(d - ((d >> 63) << 64))
         at = pa.array(row, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(index, pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(count, pa.int32()), pa.array(h, pa.int64())],
-            ["id", "th", "chunk", "first", "end", "words", "h"],
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(h, pa.int64())], ["id", "th", "first", "end", "h"]
         )
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of candidate chunks: rows (id, th, text, [(h, chunk, first, end)])."""
+    """The bytes of candidate passages: rows (id, th, text, [(h, first, end)])."""
     for batch in batches:
-        row, h, chunk, data = [], [], [], []
+        row, h, first, end, data, size = [], [], [], [], [], 0
+
+        def out():
+            at = pa.array(row, pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(data, pa.string())],
+                ["h", "id", "th", "first", "end", "data"],
+            )
+
         for r, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             lines = text.split("\n")
             for w in wanted:
                 row.append(r)
                 h.append(w["h"])
-                chunk.append(w["chunk"])
+                first.append(w["first"])
+                end.append(w["end"])
                 data.append("\n".join(lines[w["first"] : w["end"]]))
-        at = pa.array(row, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(chunk, pa.int32()), pa.array(data, pa.string())], ["h", "id", "th", "chunk", "data"]
-        )
+                size += len(data[-1])
+                if size > BATCH_CHARS:
+                    yield out()
+                    row, h, first, end, data, size = [], [], [], [], [], 0
+        yield out()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks whose bytes came before: rows sorted by hash, then by place."""
-    now, seen = None, set()
+    """Passages whose bytes came before, not overlapping the first occurrence: rows sorted by hash, then by place."""
+    now, seen = None, {}
     for batch in batches:
         out = []
-        for k, (h, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist())):
+        for k, (h, i, th, first, end, data) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
             if h != now:
-                now, seen = h, set()
-            if data in seen:
+                now, seen = h, {}
+            at = seen.setdefault(data, (i, th, end))
+            if at[:2] != (i, th) or first >= at[2]:
                 out.append(k)
-            else:
-                seen.add(data)
         at = pa.array(out, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (1, 2, 3)], ["id", "th", "chunk"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (1, 2, 3, 4)], ["id", "th", "first", "end"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the chunks listed: the last column, which is dropped, follows the text."""
+    """Texts without the passages listed: the last column, which is dropped, follows the text."""
     for batch in batches:
         texts, gone = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out, removed = [], []
         for text, drop in zip(texts, gone):
             n = 0
             if drop:
-                lines, drop, kept = text.split("\n"), set(drop), []
-                for k, (a, b, _) in enumerate(chunks(text)):
-                    if k in drop:
-                        n += b - a
-                    else:
-                        kept += lines[a:b]
+                lines, kept, at = text.split("\n"), [], 0
+                for a, b in sorted((d["first"], d["end"]) for d in drop):
+                    kept += lines[at:a]
+                    at = max(at, b)
+                kept += lines[at:]
+                n = len(lines) - len(kept)
                 text = "\n".join(kept)
             out.append(text)
             removed.append(n)
@@ -126,31 +148,26 @@ def _small(side: DataFrame, rows: int) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(id, th, chunks): for each text, named by doc_id and hash, the chunks to remove."""
+    """(id, th, passages): for each text, named by doc_id and hash, the passages to remove."""
     own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text").filter("text <> ''")
     kind = own.schema["id"].dataType.simpleString()
-    cut = own.mapInArrow(_cut, f"id {kind}, th bigint, chunk int, first int, end int, words int, h bigint").dropDuplicates(["id", "th", "chunk"])
-    cut = written(cut, "line-chunks")
+    cut = written(own.mapInArrow(_cut, f"id {kind}, th bigint, first int, end int, h bigint"), "line-passages")
     often = cut.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     again = cut.join(often, "h")
-    # neighbouring repeated chunks of a text share chunk - rank
-    place = Window.partitionBy("id", "th").orderBy("chunk")
-    run = Window.partitionBy("id", "th", "run")
-    runs = again.withColumn("run", F.col("chunk") - F.row_number().over(place))
-    runs = runs.withColumn("lines", F.sum(F.col("end") - F.col("first")).over(run)).withColumn("run_words", F.sum("words").over(run))
-    wanted = runs.filter((F.col("words") >= LONG_WORDS) | (F.col("lines") >= 2) & (F.col("run_words") >= RUN_WORDS))
-    lists = written(wanted.groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("h", "chunk", "first", "end")).alias("wanted")), "line-wanted")
+    lists = written(again.groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_set(F.struct("h", "first", "end")).alias("wanted")), "line-wanted")
     match = F.col("th").eqNullSafe(F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))
     there = own.join(_small(lists, lists.count()), match).select("id", "th", "text", "wanted")
-    data = there.mapInArrow(_bytes, f"h bigint, id {kind}, th bigint, chunk int, data string").dropDuplicates(["h", "id", "th", "chunk"])
-    repeats = data.repartition("h").sortWithinPartitions("h", F.col("id").asc_nulls_last(), "th", "chunk").mapInArrow(_repeats, f"id {kind}, th bigint, chunk int")
-    return written(repeats.groupBy("id", "th").agg(F.collect_list("chunk").alias("chunks")), "line-removals")
+    # rows that agree in doc_id and text give the same places twice; _repeats takes them for one
+    data = there.mapInArrow(_bytes, f"h bigint, id {kind}, th bigint, first int, end int, data string")
+    repeats = data.repartition("h").sortWithinPartitions("h", F.col("id").asc_nulls_last(), "th", "first").mapInArrow(_repeats, f"id {kind}, th bigint, first int, end int")
+    return written(repeats.groupBy("id", "th").agg(F.collect_set(F.struct("first", "end")).alias("passages")), "line-removals")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed from text, and removed_lines.
 
-    The first occurrence, by doc_id (null last), text and position, stays. Rows
+    The first occurrence, by doc_id (null last), text and position, stays, and
+    so does one that overlaps it in the same text. Rows
     that agree in doc_id and text are one place: each keeps what the other
     keeps. A null text stays null and an empty one empty, with 0 removed lines.
     All other columns are carried along; if there is one named removed_lines,
@@ -158,9 +175,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     gone = removals(docs)
     names = [c for c in docs.columns if c not in ("text", "removed_lines")]
-    renamed = gone.select(F.col("id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("chunks").alias("__r_chunks"))
+    renamed = gone.select(F.col("id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("passages").alias("__r_passages"))
     own = docs.withColumn("__th", F.xxhash64("text"))
     joined = own.join(_small(renamed, renamed.count()), F.col("__th").eqNullSafe(F.col("__r_th")) & own["doc_id"].eqNullSafe(F.col("__r_id")), "left")
     rest = [docs.schema[c] for c in names]
     schema = "text string, removed_lines int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return joined.select("text", "__r_chunks", *names).mapInArrow(_rebuild, schema).select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    return joined.select("text", "__r_passages", *names).mapInArrow(_rebuild, schema).select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")

@@ -237,6 +237,49 @@ def test_chunks_cover_all_lines(parts):
     assert [i for a, b, _ in found for i in range(a, b)] == list(range(len(text.split("\n"))))
 
 
+def brute_lines(texts):
+    """Lines of passages (two lines with 25 words, or one with 40) that came before."""
+    seen, out = {}, []
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                n = sum(len(x.split()) for x in lines[a:b])
+                if n >= line_dedup.LONG_WORDS if b - a == 1 else n >= line_dedup.RUN_WORDS:
+                    at = seen.setdefault(tuple(lines[a:b]), (i, b))
+                    if at[0] != i or a >= at[1]:
+                        gone |= set(range(a, b))
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_short_repeated_passages_go_whole(spark):
+    rng = random.Random(14)
+    texts = []
+    for lines, n in [(2, 28), (2, 35), (3, 25), (4, 20), (2, 13), (2, 12), (1, 39), (1, 40), (3, 9)] * 6:
+        passage = "\n".join(prose(rng, n) for _ in range(lines))
+        texts += ["\n".join([prose(rng, 20), prose(rng, 9), passage, prose(rng, 30), prose(rng, 3)]) for _ in range(2)]
+        if lines * n >= (line_dedup.RUN_WORDS if lines > 1 else line_dedup.LONG_WORDS):
+            assert passage not in brute_lines(texts)[-1]
+    line = prose(rng, 15)
+    texts += ["\n".join([line] * 5), "\n\n" + texts[3] + "\n", "\n".join(reversed(texts[5].split("\n")))]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+
+
+@given(st.lists(st.sampled_from([0, 1, 3, 12, 24, 25, 30, 45]), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_passages_cover_longer_ones(count):
+    short = line_dedup.passages(count)
+    for a in range(len(count)):
+        for b in range(a + 1, len(count) + 1):
+            n = sum(count[a:b])
+            if n >= line_dedup.LONG_WORDS if b - a == 1 else n >= line_dedup.RUN_WORDS:
+                covered = {k for x, y in short if a <= x and y <= b for k in range(x, y)}
+                assert all(k in covered for k in range(a, b) if count[k])
+
+
 def test_private_data(spark):
     rng = random.Random(10)
     d = lambda k: "".join(rng.choices("0123456789", k=k))

@@ -9,12 +9,14 @@ n-grams that is the same for all bands, so that a long text has no more
 signatures than a short one; that makes the search approximate, while every
 pair found is verified on the full sets.
 
-Rows that share a signature first compare 64-bit sketches. In a bucket each
-row is paired with the first one whose sketch is near, so a bucket of thousands
-of copies gives as many pairs, not their square. Rows whose pairs all fail are
-compared again with the last such row of each bucket in place of the first.
-The number of pairs is thus bounded by the number of signatures; the search is
-approximate, and its recall is measured against brute force by the tests.
+Rows that share a signature first compare 64-bit sketches. In a first round
+each row of a bucket is paired with the first one whose sketch is near, so a
+bucket of thousands of copies gives as many pairs, not their square. In a
+second round all near rows of a bucket that are not yet in one group are
+compared, so that each has been verified or is linked through others; only
+there the pairs can grow as the square of a bucket, if its rows are alike
+without being similar. The search is approximate in signatures and sketches
+alone, and its recall is measured against brute force by the tests.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ GROUPS, PARTS = 12, 3
 FEATURES = 80
 #: Of 64 sketch bits; sets with a similarity of 0.5 agree on 48 on average, deviation 3.5; unrelated ones on 32, deviation 4.
 NEAR_BITS = 42
+#: The same for the second round, which only one in 800 pairs with a similarity of 0.5 fails.
+WIDE_BITS = 38
+#: Pairs of one batch.
+BATCH_PAIRS = 200_000
 #: Pairs that a broadcast may hold (16 bytes each); beyond that the join shuffles.
 BROADCAST_ROWS = 2_000_000
 _U = np.uint64
@@ -119,8 +125,31 @@ def pair_bucket(x: np.ndarray, size: np.ndarray, bits: np.ndarray, threshold: fl
     return (np.concatenate(a), np.concatenate(b)) if a else (x[:0], x[:0])
 
 
+def open_pairs(start: np.ndarray, length: np.ndarray, x: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of near rows of a bucket that have different roots, in pieces."""
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    at = np.nonzero(np.repeat(mixed, length))[0]
+    end = np.repeat(start + length, length)
+    a, b, held, d = [], [], 0, 1
+    at = at[at + d < end[at]]
+    while len(at):
+        to = at + d
+        ok = np.bitwise_count(bits[at] ^ bits[to]) <= 64 - WIDE_BITS
+        ok &= (np.minimum(size[at], size[to]) >= threshold * np.maximum(size[at], size[to])) & (root[at] != root[to])
+        a.append(x[at[ok]])
+        b.append(x[to[ok]])
+        held += len(a[-1])
+        if held > BATCH_PAIRS:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, held = [], [], 0
+        d += 1
+        at = at[at + d < end[at]]
+    if held:
+        yield np.concatenate(a), np.concatenate(b)
+
+
 def _bucket_pairs(threshold: float, again: bool):
-    """A function over rows (sig, id, size, bits[, lone]) sorted by sig and id."""
+    """A function over rows (sig, id, size, bits[, root]) sorted by sig and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -139,35 +168,28 @@ def _bucket_pairs(threshold: float, again: bool):
         bits = cols[3].view(np.uint64)
         start = np.nonzero(np.r_[True, sig[1:] != sig[:-1]])[0]
         length = np.diff(np.r_[start, len(sig)])
-        a, b = [], []
-        if not again:
-            two = start[length == 2]
-            ok = (np.bitwise_count(bits[two] ^ bits[two + 1]) <= 64 - NEAR_BITS) & (x[two] != x[two + 1])
-            ok &= np.minimum(size[two], size[two + 1]) >= threshold * np.maximum(size[two], size[two + 1])
-            a.append(x[two[ok]])
-            b.append(x[two[ok] + 1])
-        for s, n in zip(start[length > 1 + (not again)].tolist(), length[length > 1 + (not again)].tolist()):
-            part = slice(s, s + n)
-            if again:
-                lone = x[part][cols[4][part]]
-                if len(lone):
-                    p, q = pair_bucket(x[part][::-1], size[part][::-1], bits[part][::-1], threshold)
-                    keep = np.isin(p, lone) | np.isin(q, lone)
-                    a.append(p[keep])
-                    b.append(q[keep])
-            else:
-                p, q = pair_bucket(x[part], size[part], bits[part], threshold)
-                a.append(p)
-                b.append(q)
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
+        for a, b in open_pairs(start, length, x, size, bits, cols[4], threshold) if again else led(start, length, x, size, bits):
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    def led(start, length, x, size, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        two = start[length == 2]
+        ok = (np.bitwise_count(bits[two] ^ bits[two + 1]) <= 64 - NEAR_BITS) & (x[two] != x[two + 1])
+        ok &= np.minimum(size[two], size[two + 1]) >= threshold * np.maximum(size[two], size[two + 1])
+        a, b = [x[two[ok]]], [x[two[ok] + 1]]
+        for s, n in zip(start[length > 2].tolist(), length[length > 2].tolist()):
+            part = slice(s, s + n)
+            p, q = pair_bucket(x[part], size[part], bits[part], threshold)
+            a.append(p)
+            b.append(q)
+        yield np.concatenate(a), np.concatenate(b)
+
     return run
 
 
 def _sign(n: int, threshold: float):
+    """A function over rows (id, text[, root]); the root is carried along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
@@ -180,7 +202,8 @@ def _sign(n: int, threshold: float):
             bits = np.array([sketch(s) for s in sets], np.int64)
             for k in range(0, len(who), 200_000):
                 w = who[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 200_000]), pa.array(ids[w]), pa.array(size[w]), pa.array(bits[w])], ["sig", "id", "size", "bits"])
+                root = [c.take(pa.array(w)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 200_000]), pa.array(ids[w]), pa.array(size[w]), pa.array(bits[w]), *root], ["sig", "id", "size", "bits", *batch.schema.names[2:]])
 
     return run
 
@@ -251,15 +274,13 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFr
     pairs = written(signed.mapInArrow(_bucket_pairs(threshold, False), "a bigint, b bigint").distinct(), "join-pairs")
     checked = written(_verified(docs, pairs, pairs.count(), n, threshold), "join-checked")
     good = checked.filter(F.col("jaccard") >= threshold)
-    done = good.select("a").union(good.select("b")).distinct()
-    lone = written(checked.filter(F.col("jaccard") < threshold).select("b").distinct().join(done, F.col("b") == F.col("a"), "left_anti").select("b"), "join-lone")
-    if lone.isEmpty():
-        return good
-    # rows that met only unlike leaders: the leaders from the other end of their buckets
-    signed = docs.mapInArrow(_sign(n, threshold), "sig bigint, id bigint, size int, bits bigint")
-    flagged = signed.join(lone, F.col("id") == F.col("b"), "left").select("sig", "id", "size", "bits", F.col("b").isNotNull().alias("lone"))
-    flagged = flagged.repartition("sig").sortWithinPartitions("sig", "id")
-    more = flagged.mapInArrow(_bucket_pairs(threshold, True), "a bigint, b bigint").distinct()
+    # near rows of a bucket that are not linked so far, whether or not they have met a leader like them
+    roots = components(good.select("a", "b")).select(F.col("node").alias("m"), "root")
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots.hint("shuffle_hash")
+    rooted = docs.join(roots, F.col("id") == F.col("m"), "left").select("id", "text", F.coalesce("root", "id").alias("root"))
+    signed = rooted.mapInArrow(_sign(n, threshold), "sig bigint, id bigint, size int, bits bigint, root bigint")
+    signed = signed.repartition("sig").sortWithinPartitions("sig", "id")
+    more = signed.mapInArrow(_bucket_pairs(threshold, True), "a bigint, b bigint").distinct()
     more = written(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
     again = _verified(docs, more, more.count(), n, threshold)
     return written(good.union(again.filter(F.col("jaccard") >= threshold)), "join-good")

@@ -364,6 +364,31 @@ def test_ngram_join(spark):
     assert kept == set(range(len(texts))) - {k for k, v in got.items() if k != v}
 
 
+def test_ngram_join_with_a_shared_template(spark):
+    # sets of 300 with a passage of 62 % in common: alike, but similar only to planted partners
+    rng = random.Random(15)
+    shared, texts = prose(rng, 188), []
+    for _ in range(60):
+        own = prose(rng, 114)
+        texts.append(shared + " " + own)
+        texts += [shared + " " + " ".join(own.split(" ")[:k]) + " " + prose(rng, 114 - k) for k in rng.sample((30, 50, 80), 2)]
+    rng.shuffle(texts)
+    sets = [ngram_join.ngram_set(t, 3, WordHashes()) for t in texts]
+    bits = [ngram_join.sketch(s) % 2**64 for s in sets]
+    who, sig = ngram_join.signatures(sets, 0.5)
+    buckets = {}
+    for i, s in zip(who.tolist(), sig.tolist()):
+        buckets.setdefault(s, set()).add(i)
+    met = {p for rows in buckets.values() for p in itertools.combinations(sorted(rows), 2)}
+    similar = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(sets[a], sets[b]) >= 0.5]
+    near = [p for p in similar if p in met and (bits[p[0]] ^ bits[p[1]]).bit_count() <= 64 - ngram_join.WIDE_BITS]
+    assert len(near) >= 0.9 * len(similar)
+    got = {r.doc_id: r.group_id for r in ngram_join.similar_groups(table(spark, texts)).collect()}
+    assert all(got.get(a, -1) == got.get(b, -2) for a, b in near)
+    want = brute_components(similar)
+    assert all(want.get(k) == want.get(v) for k, v in got.items())
+
+
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 4)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.integers(0, 60))
 @settings(max_examples=100, deadline=None)
 def test_knapsack(classes, budget):

@@ -38,7 +38,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents are chosen to the budget of their source."""
     small_batches(spark)
-    return mixing.mix(docs)
+    return mixing.mix(docs, share=mixing.SHARE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

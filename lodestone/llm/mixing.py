@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
+#: Tokens that the registered query and the pipeline ask for, as a share of all; no small source bounds the others.
+SHARE = 1.0
 #: The dynamic programme runs on at most so many tokens; whole documents are added in order of the fractions lost in rounding until the rest is below it.
 DP_TOKENS = 1 << 16
 
@@ -84,14 +86,16 @@ def mixture(
     alpha: float = 0.7,
     total: int | None = None,
     seed: int = 17,
+    share: float | None = None,
 ) -> DataFrame:
     """The documents chosen: (doc_id, source, text_hash, n_tokens).
 
     weights: share of the tokens per source; a source not named gets none.
     Without weights, shares are proportional to a source's tokens to the power
-    alpha. total: tokens wanted overall; without it the most for which every
-    source can meet its share. A source that has less than its budget is taken
-    whole.
+    alpha. total: tokens wanted overall; share: the same as a share of the tokens
+    of all sources that have a weight. Without both it is the most for which
+    every source can meet its share, so that the smallest source bounds all
+    others. A source that has less than its budget is taken whole.
 
     Rows that agree in doc_id, source and text form one item whose length is
     the sum of theirs: they are chosen or left together. Nulls in doc_id and
@@ -115,10 +119,15 @@ def mixture(
         raw = have.join(given, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # one row per source from here on
     every = Window.partitionBy(F.lit(0))
-    share = raw.filter("w > 0").withColumn("w", F.col("w") / F.sum("w").over(every))
-    limit = F.lit(float(total)) if total is not None else F.min(F.when(F.col("have") > 0, F.col("have") / F.col("w"))).over(every)
+    parts = raw.filter("w > 0").withColumn("w", F.col("w") / F.sum("w").over(every))
+    if total is not None:
+        limit = F.lit(float(total))
+    elif share is not None:
+        limit = F.sum("have").over(every) * F.lit(float(share))
+    else:
+        limit = F.min(F.when(F.col("have") > 0, F.col("have") / F.col("w"))).over(every)
     budget = F.least(F.col("have"), F.floor(F.coalesce(limit, F.lit(0.0)) * F.col("w") + F.lit(1e-6)))
-    budgets = share.select(F.col("source").alias("s"), budget.cast("bigint").alias("budget"))
+    budgets = parts.select(F.col("source").alias("s"), budget.cast("bigint").alias("budget"))
     taken = (
         lengths.join(budgets, F.col("source").eqNullSafe(F.col("s")))
         .drop("s")

@@ -48,7 +48,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents"))
+    return mixing.mixture(_table(spark, sf_dir, "documents"), share=mixing.SHARE)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

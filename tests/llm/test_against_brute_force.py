@@ -11,7 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import components, licenses, line_dedup, mixing, neardup, ngram_join, packing, pii, suffix_tree, topk, toxicity
+import corpus_pipeline
+from lodestone.llm import components, licenses, line_dedup, mixing, neardup, ngram_join, packing, pii, queries, suffix_tree, topk, toxicity
 from lodestone.llm.words import WordHashes, words
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -418,6 +419,23 @@ def test_mixture_meets_its_budgets(spark):
     assert {tuple(r) for r in mixing.mixture(docs).collect()} == {tuple(r) for r in mixing.mixture(docs.repartition(7)).collect()}
 
 
+def test_a_tiny_source_does_not_cut_the_others(spark, tmp_path):
+    rng = random.Random(16)
+    data = [(i, prose(rng, 50), "en", f"s{i % 3}", 0) for i in range(600)]
+    kept = []
+    for k, extra in enumerate(([], [(600, prose(rng, 20), "en", None, 0)])):
+        spark.createDataFrame(data + extra, DOCS).write.parquet(str(tmp_path / f"{k}/documents.parquet"))
+        got = Counter()
+        for r in queries.op9_mix_sources(spark, str(tmp_path / str(k))).collect():
+            got[r.source] += r.n_tokens
+        kept.append(got)
+    assert sum(kept[0].values()) == 30_000 and kept[1][None] == 20
+    w = 10_000**0.7 / (3 * 10_000**0.7 + 20**0.7)
+    assert all(math.floor(30_020 * w) - 50 <= kept[1][f"s{k}"] <= 30_020 * w for k in range(3))
+    docs = spark.createDataFrame(data + extra, DOCS)
+    assert corpus_pipeline.mix_sources(spark, docs, "").count() > 590
+
+
 def replayed(pieces, where, opened):
     """Contents of the bins if each piece went where it says; fails if an open bin was a better fit."""
     bins = []

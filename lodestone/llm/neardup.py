@@ -1,14 +1,16 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 In each pass every vector gets a signature, the concatenated signs of its
-projections on that pass's random directions. Vectors are sorted by signature,
+projections on that pass's random directions, after the table's mean has been
+subtracted. Vectors are sorted by signature,
 each is compared with the next few in that order, and pairs that are similar
 enough are united over all passes.
 
-The number of passes follows from the table's size: two vectors at the
-threshold agree on the first bits that narrow the table down to a window with
-a known probability, and passes are added until the chance of missing them in
-all of them is below 1 - recall.
+The number of passes is measured: for a sample of rows, a few signatures of the
+whole table tell how many bits narrow it down to a window of unlike rows, and
+passes are added until a partner at the threshold agrees on those bits in one
+of them with a mean probability of recall. It is at least what vectors spread
+evenly about the origin need.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .components import components, least_labels
 from .storage import written
 
 BITS = 62
+#: Rows of the sample, about, signatures that measure the table, and partners drawn for each row of the sample.
+SAMPLE, PILOTS, PARTNERS = 256, 4, 8
 
 
 def passes_needed(rows: int, threshold: float, window: int, recall: float) -> int:
@@ -33,6 +37,90 @@ def passes_needed(rows: int, threshold: float, window: int, recall: float) -> in
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(hit, 0.9))))
 
 
+def chance_of_bit(x: np.ndarray, mean: np.ndarray, threshold: float) -> np.ndarray:
+    """For each unit vector, the chance that it agrees with a partner at the threshold on one bit, once both are centred."""
+    rng, own = np.random.default_rng(len(x)), x - mean
+    chance = np.zeros(len(x))
+    for _ in range(PARTNERS):
+        u = rng.standard_normal(x.shape)
+        u -= (u * x).sum(axis=1, keepdims=True) * x
+        u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+        other = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * u - mean
+        cos = (own * other).sum(axis=1) / np.maximum(np.linalg.norm(own, axis=1) * np.linalg.norm(other, axis=1), 1e-12)
+        chance += 1 - np.arccos(np.clip(cos, -1, 1)) / math.pi
+    return chance / PARTNERS
+
+
+def passes_for(hit: np.ndarray, recall: float) -> int:
+    """Passes for a mean recall, from each row's chance in one pass."""
+    low, high = 0, 1
+    while (1 - (1 - hit) ** high).mean() < recall and high < 1 << 30:
+        low, high = high, high * 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if (1 - (1 - hit) ** mid).mean() >= recall else (mid, high)
+    return high
+
+
+def unit(part: pd.DataFrame) -> np.ndarray:
+    x = np.stack(part["v"].to_numpy()).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def table_means(usable: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each dimension."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for dim, part in pdf.groupby(pdf["v"].map(len)):
+                held[dim] = held.get(dim, 0.0) + np.append(unit(part).sum(axis=0, dtype=np.float64), len(part))
+        for dim, total in held.items():
+            yield pd.DataFrame({"dim": dim, "k": np.arange(dim + 1), "s": total})
+
+    rows = usable.select("v").mapInPandas(sums, "dim int, k int, s double").groupBy("dim", "k").agg(F.sum("s").alias("s")).toPandas()
+    totals = {int(d): g.sort_values("k")["s"].to_numpy() for d, g in rows.groupby("dim")}
+    return {d: (t[:-1] / t[-1]).astype(np.float32) for d, t in totals.items()}
+
+
+def passes_measured(usable: DataFrame, means: dict[int, np.ndarray], rows: int, threshold: float, window: int, recall: float, seed: int) -> int:
+    """The passes that the dimension which needs most of them needs, by the sizes of signature prefixes over the whole table."""
+    drawn = usable.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // SAMPLE))) == 0).toPandas()
+    sample = {int(d): unit(g) for d, g in drawn.groupby(drawn["v"].map(len))} if len(drawn) else {}
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(dim, pilot, row of the sample, bits in common, unlike rows)"""
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in frames:
+            for dim, part in pdf.groupby(pdf["v"].map(len)):
+                if dim not in sample:
+                    continue
+                own, all_ = sample[dim], unit(part)
+                for k in range(0, len(all_), 2000):
+                    x = all_[k : k + 2000]
+                    unlike = x @ own.T < threshold
+                    for q in range(PILOTS):
+                        differ = signatures(x - means[dim], q, seed)[:, None] ^ signatures(own - means[dim], q, seed)[None, :]
+                        common = BITS - np.frexp(differ.astype(np.float64))[1]
+                        at = (np.arange(len(own))[None, :] * (BITS + 1) + np.maximum(common, 0))[unlike]
+                        held[dim, q] = held.get((dim, q), 0) + np.bincount(at, minlength=len(own) * (BITS + 1))
+        for (dim, q), n in held.items():
+            some = np.nonzero(n)[0]
+            yield pd.DataFrame({"dim": dim, "q": q, "i": some // (BITS + 1), "bits": some % (BITS + 1), "n": n[some]})
+
+    found = usable.select("v").mapInPandas(prefixes, "dim int, q int, i int, bits int, n bigint").groupBy("dim", "q", "i", "bits").agg(F.sum("n").alias("n")).toPandas()
+    most = 1
+    for dim, own in sample.items():
+        mine = found[found["dim"] == dim]
+        n = np.zeros((PILOTS, len(own), BITS + 1), np.int64)
+        n[mine["q"], mine["i"], mine["bits"]] = mine["n"]
+        left = n[:, :, ::-1].cumsum(axis=2)[:, :, ::-1]  # unlike rows that share so many bits or more
+        need = (left > window).sum(axis=2)
+        hit = (chance_of_bit(own, means[dim], threshold)[None, :] ** need).mean(axis=0)
+        most = max(most, passes_for(hit, recall))
+    return most
+
+
 def signatures(x: np.ndarray, number: int, seed: int) -> np.ndarray:
     planes = np.random.default_rng([seed, number]).standard_normal((x.shape[1], BITS)).astype(np.float32)
     return ((x @ planes > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
@@ -77,15 +165,16 @@ def near_duplicates(
     good = F.col("id").isNotNull() & (F.size("v") > 0) & F.coalesce(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)) & F.exists("v", lambda e: e != 0)
     usable = src.filter(good)
     sizes = [(r[0], r[1]) for r in usable.groupBy(F.size("v")).count().collect()]  # one row for each dimension
-    count = passes if passes is not None else passes_needed(max([n for _, n in sizes], default=0), threshold, window, recall)
+    most = max([n for _, n in sizes], default=0)
+    means = table_means(usable)
+    count = passes if passes is not None else max(passes_needed(most, threshold, window, recall), passes_measured(usable, means, most, threshold, window, recall, seed))
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
-                x = np.stack(part["v"].to_numpy()).astype(np.float32)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(part)
                 for p in range(count):
-                    yield pd.DataFrame({"dim": dim, "pass": p, "sig": signatures(x, p, seed), "id": part["id"].to_numpy(), "v": list(x)})
+                    yield pd.DataFrame({"dim": dim, "pass": p, "sig": signatures(x - means[dim], p, seed), "id": part["id"].to_numpy(), "v": list(x)})
 
     sorted_ = (
         usable.mapInPandas(project, "dim int, pass int, sig bigint, id bigint, v array<float>")

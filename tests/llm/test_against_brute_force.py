@@ -79,6 +79,18 @@ def test_neardup(spark):
     assert all(want.get(k, k) == want.get(v, v) for k, v in got.items())  # none united that aren't joined
 
 
+def test_neardup_in_a_cone(spark):
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((3000, 32)) / 32**0.5 + 2 * np.eye(32)[0]  # mean cosine 0.8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal((300, 32))
+    u -= (u * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    y = 0.952 * x[:300] + (1 - 0.952**2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r.cluster_id for r in neardup.near_duplicates(frame, window=16).collect()}
+    assert sum(got[i] == got[3000 + i] for i in range(300)) >= 0.97 * 300
+
+
 def bm25(texts, query, k):
     docs = [Counter(words(t)) for t in texts]
     n, mean = len(docs), sum(sum(d.values()) for d in docs) / len(docs)

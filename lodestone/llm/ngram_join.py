@@ -1,49 +1,49 @@
-"""Jaccard join of documents by word n-grams, with PartEnum signatures.
-
-Sets are put in bands of like size. The n-gram domain is split into groups and
-each group into parts; a signature is a group with all but one of its parts,
-so two sets share one if, in some group, they agree on the other parts. A set
-has signatures in its own band and in the next, so similar sets whose sizes
-straddle a border meet. In a band the domain is thinned by hash to a number of
-n-grams that is the same for all bands, so that a long text has no more
-signatures than a short one; that makes the search approximate, while every
-pair found is verified on the full sets.
-
-Rows that share a signature first compare 64-bit sketches. In a first round
-each row of a bucket is paired with the first one whose sketch is near, so a
-bucket of thousands of copies gives as many pairs, not their square. In a
-second round all near rows of a bucket that are not yet in one group are
-compared, so that each has been verified or is linked through others; only
-there the pairs can grow as the square of a bucket, if its rows are alike
-without being similar. The search is approximate in signatures and sketches
-alone, and its recall is measured against brute force by the tests.
+"""Exact Jaccard join of documents by word n-grams.
+
+Every pair of different texts with a similarity of at least the threshold is
+found; nothing is thinned, capped or sampled. Texts with the same set of
+n-grams are copies: they are one class, named by the set's hash, and only
+classes are joined.
+
+1. n-grams that no other document has can't be in an overlap. Each task sorts
+   its n-grams and sends each of them once, so one that a third of all
+   documents share travels once for each task, not once for each document. A
+   document of which fewer than threshold * size n-grams occur elsewhere has no
+   partner and goes.
+2. What is left is signed: n-grams are put in one order for all documents,
+   rarest first, and the first size - ceil(threshold * size) + 1 of them are
+   the document's signatures. Two sets with so large an overlap as the
+   threshold asks for share one. A signature only pairs sets of like size, and
+   only if enough n-grams follow it on both sides for the overlap.
+3. Each candidate pair is verified on the full sets.
+
+PartEnum's signatures (subsets of parts of the domain) were tried first. At a
+similarity of 0.5 the sets may differ in two thirds of their size, so that a
+signature has one or two n-grams and often none; they were made selective by
+thinning the domain, which loses pairs. The README has figures.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .storage import written
+from .storage import small_side, stored_bytes, written
 from .words import WordHashes, grams, mix, word_hashes
 
-GROUPS, PARTS = 12, 3
-#: n-grams that represent a set at the top of its band.
-FEATURES = 80
-#: Of 64 sketch bits; sets with a similarity of 0.5 agree on 48 on average, deviation 3.5; unrelated ones on 32, deviation 4.
-NEAR_BITS = 42
-#: The same for the second round, which only one in 800 pairs with a similarity of 0.5 fails.
-WIDE_BITS = 38
-#: Pairs of one batch.
-BATCH_PAIRS = 200_000
-#: Pairs that a broadcast may hold (16 bytes each); beyond that the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: n-grams that a task sorts at a time; documents sorted together have a 16-bit number.
+FLUSH, FLUSH_DOCS = 2_000_000, 65_000
+#: Of an n-gram that several documents of the task have, so no number is sent.
+_SEVERAL = 0xFFFF
+#: Input bytes for each part of the domain of n-grams; the number of parts only bounds what one step holds.
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 8 << 20, 16, 1 << 17
 _U = np.uint64
 
 
@@ -52,257 +52,279 @@ def ngram_set(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
     return np.unique(grams(word_hashes(text, cache), n))
 
 
-def sketch(s: np.ndarray) -> int:
-    """One bit of the least hash in each of 64 bins; an empty bin borrows from the next filled one before it."""
-    if not len(s):
-        return 0
-    least, filled = np.zeros(64, np.uint64), np.full(64, -1)
-    bins = ((s >> _U(20)) & _U(63)).astype(np.intp)[::-1]
-    least[bins] = s[::-1]
-    filled[bins] = bins
-    # the last filled bin up to each; before the first one, the last of all
-    giver = np.maximum.accumulate(filled)
-    giver[giver < 0] = giver[-1]
-    away = (np.arange(64) - giver).astype(np.uint64)
-    bits = (mix(least[giver] + away * _U(0x9E3779B97F4A7C15)) >> _U(33)) & _U(1)
-    return int(np.packbits(bits.astype(np.uint8)).view(np.int64)[0])
-
-
-def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the set, signature) for all signatures of all sets."""
-    owner, picked, bands = [], [], []
-    ratio = math.log(1 / threshold)
-    for k, s in enumerate(sets):
-        if not len(s):
-            continue
-        own = int(math.log(len(s)) / ratio + 1e-9)
-        for band in (own, own + 1):
-            rate = min(1.0, FEATURES * threshold ** (band + 1))
-            part = s[: np.searchsorted(s, _U(min(2**64 - 1, int(rate * 2**64))), "right")]
-            if len(part):
-                owner.append(k)
-                picked.append(part)
-                bands.append(band)
-    if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows, regions = len(owner), GROUPS * PARTS
-    row = np.repeat(np.arange(rows), [len(p) for p in picked])
-    h = np.concatenate(picked)
-    cell = row * regions + (((h & _U(0xFFFF)) * _U(regions)) >> _U(16)).astype(np.int64)
-    total = np.zeros(rows * regions, np.uint64)
-    np.add.at(total, cell, mix(h))
-    filled = np.bincount(cell, minlength=rows * regions).reshape(rows, GROUPS, PARTS)
-    total = total.reshape(rows, GROUPS, PARTS)
-    base = mix(np.asarray(bands, np.uint64) + _U(1))[:, None] + np.arange(GROUPS, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)
-    who, found = [], []
-    for out in range(PARTS):
-        sig = mix(base + _U(out + 1))
-        for part in range(PARTS):
-            if part != out:
-                sig = mix(sig * _U(31) + total[:, :, part] + _U(part))
-        some = filled.sum(axis=2) - filled[:, :, out] > 0
-        r, g = np.nonzero(some)
-        who.append(np.asarray(owner)[r])
-        found.append(sig[r, g].view(np.int64))
-    return np.concatenate(who), np.concatenate(found)
-
-
-def _near(x: np.ndarray, size: np.ndarray, bits: np.ndarray, i: int, threshold: float) -> np.ndarray:
-    ok = np.bitwise_count(bits ^ bits[i]) <= 64 - NEAR_BITS
-    return ok & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])) & (x != x[i])
-
-
-def pair_bucket(x: np.ndarray, size: np.ndarray, bits: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each row of a bucket with its leader, the first row near to it that has none itself."""
-    a, b = [], []
-    left = np.arange(len(x))
-    while len(left) > 1:
-        near = _near(x[left], size[left], bits[left], 0, threshold)
-        if near.any():
-            a.append(np.full(int(near.sum()), x[left[0]]))
-            b.append(x[left[near]])
-        left = left[1:][~near[1:]]
-    return (np.concatenate(a), np.concatenate(b)) if a else (x[:0], x[:0])
-
-
-def open_pairs(start: np.ndarray, length: np.ndarray, x: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of near rows of a bucket that have different roots, in pieces."""
-    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-    at = np.nonzero(np.repeat(mixed, length))[0]
-    end = np.repeat(start + length, length)
-    a, b, held, d = [], [], 0, 1
-    at = at[at + d < end[at]]
-    while len(at):
-        to = at + d
-        ok = np.bitwise_count(bits[at] ^ bits[to]) <= 64 - WIDE_BITS
-        ok &= (np.minimum(size[at], size[to]) >= threshold * np.maximum(size[at], size[to])) & (root[at] != root[to])
-        a.append(x[at[ok]])
-        b.append(x[to[ok]])
-        held += len(a[-1])
-        if held > BATCH_PAIRS:
-            yield np.concatenate(a), np.concatenate(b)
-            a, b, held = [], [], 0
-        d += 1
-        at = at[at + d < end[at]]
-    if held:
-        yield np.concatenate(a), np.concatenate(b)
-
-
-def _bucket_pairs(threshold: float, again: bool):
-    """A function over rows (sig, id, size, bits[, root]) sorted by sig and id."""
+def set_hash(s: np.ndarray) -> int:
+    """A hash of a set of hashes, by which copies are known."""
+    both = np.array([mix(s).sum(), len(s)], np.uint64) * np.array([1, 0x9E3779B97F4A7C15], np.uint64)
+    return int(mix(both.sum(keepdims=True)).view(np.int64)[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
-            last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
-            if last:
-                yield from solve([c[:last] for c in held])
-                held = [c[last:] for c in held]
-        if held is not None and len(held[0]):
-            yield from solve(held)
-
-    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, x, size = cols[:3]
-        bits = cols[3].view(np.uint64)
-        start = np.nonzero(np.r_[True, sig[1:] != sig[:-1]])[0]
-        length = np.diff(np.r_[start, len(sig)])
-        for a, b in open_pairs(start, length, x, size, bits, cols[4], threshold) if again else led(start, length, x, size, bits):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def led(start, length, x, size, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        two = start[length == 2]
-        ok = (np.bitwise_count(bits[two] ^ bits[two + 1]) <= 64 - NEAR_BITS) & (x[two] != x[two + 1])
-        ok &= np.minimum(size[two], size[two + 1]) >= threshold * np.maximum(size[two], size[two + 1])
-        a, b = [x[two[ok]]], [x[two[ok] + 1]]
-        for s, n in zip(start[length > 2].tolist(), length[length > 2].tolist()):
-            part = slice(s, s + n)
-            p, q = pair_bucket(x[part], size[part], bits[part], threshold)
-            a.append(p)
-            b.append(q)
-        yield np.concatenate(a), np.concatenate(b)
 
-    return run
+def _lists(kind: pa.DataType, items: list, number: int) -> pa.Array:
+    """A column of nulls but for the first row, a list."""
+    return pa.array([items] + [None] * (number - 1), pa.list_(kind))
 
 
-def _sign(n: int, threshold: float):
-    """A function over rows (id, text[, root]); the root is carried along."""
+def _postings(n: int, parts: int, kind: pa.DataType):
+    """A function over rows (id, th, text): for each part of the domain the n-grams of a number of documents, and one row about these documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, number = WordHashes(), 0
+        task = TaskContext.get().partitionId()
+        sets: list[np.ndarray] = []
+        known: dict[int, int] = {}
+        ids: list = []
+        ths: list[int] = []
+        at: list[int] = []
+        total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, total
+            tag = (task << 24) + number
+            number += 1
+            size = np.array([len(s) for s in sets])
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            g, own = flat[order], np.repeat(np.arange(len(sets), dtype=np.uint16), size)[order]
+            start = np.nonzero(np.r_[True, g[1:] != g[:-1]])[0]
+            count = np.diff(np.r_[start, len(g)])
+            shared = np.bincount(own[np.repeat(count > 1, count)], minlength=len(sets))
+            g, own = g[start], np.where(count > 1, np.uint16(_SEVERAL), own[start])
+            part = ((g >> _U(32)) * _U(parts)) >> _U(32)
+            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
+            low = g.astype(np.uint32)
+            about = {"ids": _lists(kind, ids, 1), "ths": _lists(pa.int64(), ths, 1), "at": _lists(pa.int32(), at, 1), "hs": _lists(pa.int64(), list(known), 1), "sizes": _lists(pa.int32(), size.tolist(), 1), "shared": _lists(pa.int32(), shared.tolist(), 1)}
+            yield pa.RecordBatch.from_arrays([pa.array([tag % parts], pa.int32()), pa.array([tag], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *about.values()], ["part", "tag", "low", "own", *about])
+            some = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            for k in range(0, len(some), 32):
+                mine = some[k : k + 32]
+                columns = [pa.array(mine, pa.int32()), pa.array([tag] * len(mine), pa.int64())]
+                columns += [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in mine], pa.binary()) for x in (low, own)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(mine), a.type) for a in about.values()]], ["part", "tag", "low", "own", *about])
+            for x in (sets, known, ids, ths, at):
+                x.clear()
+            total = 0
+
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sets = [ngram_set(t, n, cache) for t in batch.column(1).to_pylist()]
-            who, sig = signatures(sets, threshold)
-            if not len(who):
-                continue
-            size = np.array([len(s) for s in sets], np.int32)
-            bits = np.array([sketch(s) for s in sets], np.int64)
-            for k in range(0, len(who), 200_000):
-                w = who[k : k + 200_000]
-                root = [c.take(pa.array(w)) for c in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 200_000]), pa.array(ids[w]), pa.array(size[w]), pa.array(bits[w]), *root], ["sig", "id", "size", "bits", *batch.schema.names[2:]])
+            for i, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = ngram_set(text, n, cache)
+                if not len(s):
+                    continue
+                h = set_hash(s)
+                if h not in known:
+                    known[h] = len(sets)
+                    sets.append(s)
+                    total += len(s)
+                ids.append(i)
+                ths.append(th)
+                at.append(known[h])
+                if total >= FLUSH or len(sets) >= FLUSH_DOCS or len(ids) >= 4 * FLUSH_DOCS:
+                    yield from flush()
+        if sets:
+            yield from flush()
 
     return run
 
 
-def _verify(threshold: float):
-    """A function over rows (a, id, grams) sorted by a with the row of a itself first."""
+def _elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _postings sorted by part: the numbers of the documents of each tag, once for each n-gram that another tag has too."""
+    part, low, own, tags = None, [], [], []
+    found: dict[int, list[np.ndarray]] = {}
+    held, rest = 0, None
+
+    def close() -> None:
+        nonlocal held
+        size = [len(x) for x in low]
+        f, o = np.concatenate(low), np.concatenate(own)
+        order = np.argsort(f, kind="stable")
+        f, o, source = f[order], o[order], np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        start = np.nonzero(np.r_[True, f[1:] != f[:-1]])[0]
+        count = np.diff(np.r_[start, len(f)])
+        shared = (count > 1) | (np.maximum.reduceat(o, start) == _SEVERAL)
+        hit = np.repeat(shared, count) & (o != _SEVERAL)
+        source, o = source[hit], o[hit]
+        order = np.argsort(source, kind="stable")
+        cut = np.searchsorted(source[order], np.arange(len(size) + 1))
+        o = o[order]
+        for k, tag in enumerate(tags):
+            if cut[k] < cut[k + 1]:
+                found.setdefault(tag, []).append(o[cut[k] : cut[k + 1]])
+        held += len(o)
+        for x in (low, own, tags):
+            x.clear()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        names = list(found)
+        for k in range(0, len(names), 64):
+            mine = names[k : k + 64]
+            data = pa.array([np.concatenate(found[t]).tobytes() for t in mine], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), data, *[pa.nulls(len(mine), c.type) for c in rest.columns[4:]]], ["tag", "own", *rest.schema.names[4:]])
+        found.clear()
+        held = 0
+
+    for batch in batches:
+        rest = batch if rest is None else rest
+        about = batch.filter(batch.column(2).is_null())
+        if len(about):
+            yield pa.RecordBatch.from_arrays([about.column(1), about.column(3), *about.columns[4:]], ["tag", "own", *batch.schema.names[4:]])
+        for p, t, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if a is None:
+                continue
+            if p != part:
+                if low:
+                    close()
+                if held > 4 * FLUSH:
+                    yield from out()
+                part = p
+            low.append(np.frombuffer(a, np.uint32))
+            own.append(np.frombuffer(b, np.uint16))
+            tags.append(t)
+    if low:
+        close()
+    if found:
+        yield from out()
+
+
+def _members(threshold: float):
+    """Rows of _elsewhere sorted by tag: (id, th, h, size, alive) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, known = None, None
+        tag, about, hits = None, None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            ids, ths, at, hs, sizes, shared = about
+            at, size = at.values.to_numpy(), sizes.values.to_numpy()
+            m = shared.values.to_numpy() + (0 if hits is None else hits[: len(size)])
+            alive = m >= threshold * size - 1e-9
+            for k in range(0, len(at), 100_000):
+                s = slice(k, k + 100_000)
+                own = at[s]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.values[s], ths.values[s], pa.array(hs.values.to_numpy()[own]), pa.array(size[own].astype(np.int32)), pa.array(alive[own])], ["id", "th", "h", "size", "alive"]
+                )
+
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            grams_ = batch.column(2)
-            flat, at = grams_.flatten().to_numpy(), (grams_.offsets.to_numpy() - grams_.offsets[0].as_py())
-            for k, (a, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                s = flat[at[k] : at[k + 1]]
-                if a != leader:
-                    leader, known = a, []
-                if x == a:
-                    known.append(s)
-                    continue
-                best = 0.0
-                for own in known:
-                    common = len(np.intersect1d(own, s, assume_unique=True))
-                    best = max(best, common / (len(own) + len(s) - common)) if len(own) + len(s) else 0.0
-                out.append((a, x, best))
-            a, b, j = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
+            for k, (t, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if t != tag:
+                    if about is not None:
+                        yield from close()
+                    tag, about, hits = t, None, None
+                if own is None:
+                    about = [c[k] for c in batch.columns[2:]]
+                else:
+                    counted = np.bincount(np.frombuffer(own, np.uint16), minlength=FLUSH_DOCS)
+                    hits = counted if hits is None else hits + counted
+        if about is not None:
+            yield from close()
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, count: int, n: int, threshold: float) -> DataFrame:
-    """pairs (a, b) with the similarity of their full sets."""
+def members(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id, th, h, size, alive) of each row with words: th hashes the text, h its set; only a set that is alive may have a partner.
 
-    def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Also alive are copies in different tasks, each of which has the other's n-grams.
+    """
+    kind = docs.select("id").schema["id"].dataType.simpleString()
+    parts = max(LEAST_PARTS, min(MOST_PARTS, stored_bytes(docs) // PART_BYTES))
+    about = f"ids array<{kind}>, ths array<bigint>, at array<int>, hs array<bigint>, sizes array<int>, shared array<int>"
+    arrow = to_arrow_type(docs.select("id").schema["id"].dataType)
+    sent = docs.select("id", "th", "text").mapInArrow(_postings(n, parts, arrow), f"part int, tag bigint, low binary, own binary, {about}")
+    found = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_elsewhere, f"tag bigint, own binary, {about}")
+    found = written(found, "join-elsewhere").repartition("tag").sortWithinPartitions("tag")
+    return written(found.mapInArrow(_members(threshold), f"id {kind}, th bigint, h bigint, size int, alive boolean"), "join-members")
+
+
+def _gram_sets(n: int):
+    """A function over rows (h, text): the set, and 32 bits of each of its hashes, which within a pair of sets are as good as 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
-                # 32 bits of each hash: within one pair of sets a clash is as good as impossible
-                sets = [np.unique((s >> _U(32)).astype(np.uint32)).view(np.int32) for s in (ngram_set(t, n, cache) for t in part.column(1).to_pylist())]
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), part.column(2)], ["id", "grams", "leaders"])
-
-    ends = pairs.select(F.col("b").alias("m"), "a").union(pairs.select(F.col("a").alias("m"), "a")).groupBy("m").agg(F.collect_set("a").alias("leaders"))
-    if count <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    else:
-        ends = ends.hint("shuffle_hash")
-    sets = docs.join(ends, F.col("id") == F.col("m")).select("id", "text", "leaders").mapInArrow(gram_sets, "id bigint, grams array<int>, leaders array<bigint>")
-    rows = sets.select(F.explode("leaders").alias("a"), "id", "grams")
-    ordered = rows.repartition("a").sortWithinPartitions("a", F.col("id") != F.col("a"), "id")
-    return ordered.mapInArrow(_verify(threshold), "a bigint, b bigint, jaccard double")
-
-
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Verified pairs (a, b, jaccard), a < b, whose components are the groups of similar documents.
-
-    Of the many pairs in a group only enough are given to connect it. Documents
-    with a null doc_id or no words are in no pair; rows that repeat a doc_id
-    count as one document whose similarity is the best of its rows; extra
-    columns are ignored; an empty table has no pairs.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
-    signed = docs.mapInArrow(_sign(n, threshold), "sig bigint, id bigint, size int, bits bigint")
-    signed = signed.repartition("sig").sortWithinPartitions("sig", "id")
-    pairs = written(signed.mapInArrow(_bucket_pairs(threshold, False), "a bigint, b bigint").distinct(), "join-pairs")
-    checked = written(_verified(docs, pairs, pairs.count(), n, threshold), "join-checked")
-    good = checked.filter(F.col("jaccard") >= threshold)
-    # near rows of a bucket that are not linked so far, whether or not they have met a leader like them
-    roots = components(good.select("a", "b")).select(F.col("node").alias("m"), "root")
-    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots.hint("shuffle_hash")
-    rooted = docs.join(roots, F.col("id") == F.col("m"), "left").select("id", "text", F.coalesce("root", "id").alias("root"))
-    signed = rooted.mapInArrow(_sign(n, threshold), "sig bigint, id bigint, size int, bits bigint, root bigint")
-    signed = signed.repartition("sig").sortWithinPartitions("sig", "id")
-    more = signed.mapInArrow(_bucket_pairs(threshold, True), "a bigint, b bigint").distinct()
-    more = written(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
-    again = _verified(docs, more, more.count(), n, threshold)
-    return written(good.union(again.filter(F.col("jaccard") >= threshold)), "join-good")
+                sets = [ngram_set(t, n, cache) for t in part.column(1).to_pylist()]
+                columns = []
+                for each in ([s.view(np.int64) for s in sets], [np.unique((s >> _U(32)).astype(np.uint32)).view(np.int32) for s in sets]):
+                    at = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(each))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), *columns], ["h", "size", "grams", "low"])
+
+    return run
+
+
+def _least_overlap(a, b, threshold: float):
+    return F.ceil((F.col(a) + F.col(b)) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+
+
+def class_pairs(docs: DataFrame, own: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) for every pair of different sets that are similar, a and b being their hashes."""
+    reps = own.filter("alive").groupBy("h").agg(F.min(F.struct("id", "th")).alias("r")).select("h", F.col("r.id").alias("r_id"), F.col("r.th").alias("r_th"))
+    reps = written(reps, "join-reps")
+    texts = docs.join(small_side(reps), (F.col("th") == F.col("r_th")) & (F.col("id") == F.col("r_id"))).select("h", "text")
+    sets = texts.mapInArrow(_gram_sets(n), "h bigint, size int, grams array<bigint>, low array<int>")
+    if not own.groupBy("id", "th").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["h"])
+    sets = written(sets, "join-sets")
+    each = sets.select("h", "size", F.explode("grams").alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    there = Window.partitionBy("h")
+    place = F.col("size") - F.count("*").over(there) + F.row_number().over(there.orderBy("n", "g")) - 1
+    signed = each.join(often, "g").withColumn("place", place.cast("int"))
+    signed = written(signed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9)).select("g", "h", "size", "place"), "join-signed")
+    a, b = signed.toDF("g", "a", "a_size", "a_place"), signed.toDF("g2", "b", "b_size", "b_place")
+    smaller = (F.col("a_size") < F.col("b_size")) | (F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b"))
+    alike = F.col("a_size") >= F.col("b_size") * threshold - 1e-9
+    enough = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= _least_overlap("a_size", "b_size", threshold)
+    pairs = written(a.join(b, (F.col("g") == F.col("g2")) & smaller & alike & enough).select("a", "b").distinct(), "join-pairs")
+    full = sets.select("h", "size", "low")
+    both = pairs.join(full.toDF("a", "a_size", "a_low"), "a").join(full.toDF("b", "b_size", "b_low"), "b")
+    common = F.size(F.array_intersect("a_low", "b_low"))
+    jaccard = F.col("common") / (F.col("a_size") + F.col("b_size") - F.col("common"))
+    return written(both.withColumn("common", common).select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold), "join-good")
+
+
+def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id, th, h, root, links) of each row with words; root is the same for all documents of a group."""
+    docs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
+    own = members(docs, n, threshold)
+    good = class_pairs(docs, own, n, threshold)
+    roots = components(good.select("a", "b")).select(F.col("node").alias("h"), "root")
+    links = good.select(F.col("a").alias("h")).union(good.select("b")).groupBy("h").agg(F.count("*").alias("links"))
+    out = own.select("id", "th", "h").join(roots, "h", "left").join(links, "h", "left")
+    return out.select("id", "th", "h", F.coalesce("root", "h").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def similar_groups(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, group_id) for every document that is similar to another; group_id is the least doc_id of its group."""
-    pairs = similar_pairs(docs, n, threshold)
-    roots = written(components(pairs.select("a", "b")), "join-roots")
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).union(roots.select("root", "root").distinct())
+    """(doc_id, group_id, links) for every document that is similar to another.
+
+    group_id is the least doc_id of those that are similar directly or through
+    others. links is the number of different texts (sets of n-grams) that the
+    document is similar to, copies of its own not counted, so it is 0 for one
+    that has only copies. Rows with a null doc_id, or a null, empty or wordless
+    text, are in no group. A doc_id that repeats with another text is a
+    document of its own; with the same words it is the same. doc_id may be of any
+    type that can be ordered. Extra columns are ignored; an empty table has no
+    groups.
+    """
+    all_ = written(_grouped(docs, n, threshold).select("id", "h", "root", "links").distinct(), "join-groups")
+    groups = all_.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1").select("root", "group_id")
+    return all_.join(groups, "root").select(F.col("id").alias("doc_id"), "group_id", "links")
 
 
 def one_of_each(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """docs without the documents that are similar to one with a lower doc_id in their group.
 
     Rows with a null doc_id, and documents without words, stay. Of rows that
-    agree in doc_id and text one stays.
+    agree in doc_id and text one stays. If the lowest doc_id of a group has
+    several texts, the one with the least hash stays.
     """
-    roots = components(similar_pairs(docs, n, threshold).select("a", "b"))
+    all_ = written(_grouped(docs, n, threshold).select("id", "th", "root").withColumn("both", F.struct("id", "th")), "join-groups")
+    first = all_.groupBy("root").agg(F.min("both").alias("first"))
+    gone = written(all_.join(first, "root").filter(F.col("both") != F.col("first")).select(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct(), "join-gone")
+    text_hash = F.xxhash64(docs["text"])
+    kept = docs.join(small_side(gone), (docs["doc_id"] == F.col("__gone_id")) & (text_hash == F.col("__gone_th")), "left_anti")
     again = written(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again")), "join-again")
-    kept = docs.join(roots.select(F.col("node").alias("__node")), F.col("doc_id") == F.col("__node"), "left_anti")
     if again.isEmpty():
         return kept
-    unique = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return unique.unionByName(kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    unique = kept.join(small_side(again), kept["doc_id"] == F.col("__again"), "left_anti")
+    return unique.unionByName(kept.join(small_side(again), kept["doc_id"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))

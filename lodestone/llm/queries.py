@@ -75,6 +75,20 @@ def oracle_sql() -> dict[str, str]:
                        FROM qt JOIN tf USING (w) JOIN df USING (w) JOIN len USING (doc_id), size GROUP BY 1, 2)
             SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
                            FROM scored WHERE score > 0) WHERE rank <= 10""",
+        # all pairs of distinct sets of word 3-grams by an inverted index; groups by recursion over the similar ones
+        "op8_ngram_join": """
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+            g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS s FROM w WHERE len(ws) > 0),
+            c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM g GROUP BY s),
+            f AS (SELECT rep, n, unnest(s) AS gram FROM c),
+            p AS (SELECT a.rep AS x, b.rep AS y FROM f a JOIN f b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.5 * (a.n + b.n - count(*))),
+            reach(x, y) AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x),
+            own AS (SELECT c.s, c.rep, least(c.rep, coalesce(min(r.y), c.rep)) AS root FROM c LEFT JOIN reach r ON r.x = c.rep GROUP BY 1, 2),
+            links AS (SELECT x, count(*) AS links FROM p GROUP BY 1),
+            m AS (SELECT DISTINCT doc_id, rep, root FROM g JOIN own USING (s)),
+            often AS (SELECT root, min(doc_id) AS group_id FROM m GROUP BY 1 HAVING count(*) > 1)
+            SELECT doc_id, group_id, coalesce(links, 0) AS links FROM m JOIN often USING (root) LEFT JOIN links ON x = rep""",
         # every pair compared; components by recursion over the pairs found
         "op1_embedding_neardup": """
             WITH RECURSIVE pair AS (

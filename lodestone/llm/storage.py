@@ -14,9 +14,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most rows and bytes of an Arrow batch; the bytes keep a Python worker's memory small even if texts are long.
 BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
+#: Bytes, as stored, of a written table that a join may broadcast; beyond that it shuffles.
+BROADCAST_BYTES = 24 << 20
+#: Once a table is written, the shuffle files that led to it aren't needed again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -33,13 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a Parquet table under the shared folder."""
+    """The same rows, read from a Parquet table under the shared folder; the shuffle files of the write go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a frame's size; for a written table the bytes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small_side(side: DataFrame) -> DataFrame:
+    """A written table as one side of a join: broadcast if its bytes allow, else hashed after a shuffle."""
+    return F.broadcast(side) if stored_bytes(side) <= BROADCAST_BYTES else side.hint("shuffle_hash")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch for operators that hand texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

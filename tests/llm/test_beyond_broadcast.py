@@ -4,7 +4,7 @@ from test_against_brute_force import test_licenses as license_case
 from test_against_brute_force import test_line_dedup as line_case
 from test_against_brute_force import test_ngram_join as join_case
 
-from lodestone.llm import licenses, line_dedup, ngram_join
+from lodestone.llm import licenses, line_dedup, storage
 
 
 def test_lines(spark, monkeypatch):
@@ -13,7 +13,7 @@ def test_lines(spark, monkeypatch):
 
 
 def test_join(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
     join_case(spark)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import licenses, line_dedup, mixing, neardup, ngram_join, packing, pii, suffix_tree, topk, toxicity
@@ -98,8 +99,10 @@ def test_private(docs, empty):
 
 
 def test_join(docs, empty):
-    got = {(r.doc_id, r.group_id) for r in ngram_join.similar_groups(docs).collect()}
-    assert got == {(3, 3), (31, 3)}
+    got = sorted((r.doc_id, r.group_id, r.links) for r in ngram_join.similar_groups(docs).collect())
+    assert got == [(3, 3, 0), (31, 3, 0)]
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sorted((r.doc_id, r.group_id) for r in ngram_join.similar_groups(named).collect()) == [("d3", "d3"), ("d31", "d3")]
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows()) - 2
     assert ngram_join.similar_groups(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0

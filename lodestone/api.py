@@ -1,4 +1,4 @@
-"""analyze, transform, save and load."""
+"""analyze, apply, save and load."""
 
 from __future__ import annotations
 
@@ -19,14 +19,14 @@ from .plans.cache import AnalysisCache, solver
 Fn = Callable[[Mapping[str, Column]], Mapping[str, Column]]
 
 
-class Transform:
+class Frozen:
     """A preprocessing function with its full-pass results; applied as one projection, with joins for large lookups."""
 
     def __init__(self, fn: Fn, values: dict[str, Any], input_schema: T.StructType, assets: dict[str, str] | None = None):
         self.fn, self.values, self.input_schema, self.assets = fn, values, input_schema, assets or {}
         self.phases = 0
 
-    def transform(self, df: DataFrame, passthrough: Sequence[str] = (), exclude_outputs: Sequence[str] = ()) -> DataFrame:
+    def apply(self, df: DataFrame, passthrough: Sequence[str] = (), exclude_outputs: Sequence[str] = ()) -> DataFrame:
         """The outputs, one row for each input row; passthrough columns are carried along unseen by the function."""
         clash = set(passthrough) & set(self.input_schema.fieldNames())
         if clash:
@@ -44,7 +44,7 @@ class Transform:
         return P.trace(spark.createDataFrame([], self.input_schema), self.fn, self.values)[0].annotations
 
     def output_schema(self, spark: SparkSession) -> T.StructType:
-        return self.transform(spark.createDataFrame([], self.input_schema)).schema
+        return self.apply(spark.createDataFrame([], self.input_schema)).schema
 
     # vocabularies and buckets by name
     def _vocabulary(self, name: str) -> Vocabulary:
@@ -92,7 +92,7 @@ class Transform:
         os.rename(temp, path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "Transform":
+    def load(spark: SparkSession, path: str) -> "Frozen":
         """What save wrote. The function is unpickled: load only what you trust."""
         with open(f"{path}/values.json") as f:
             meta = json.load(f)
@@ -106,7 +106,7 @@ class Transform:
                 values[key] = spark.read.parquet(f"{path}/tables/{v['table']}")
             else:
                 values[key] = _tuples(v["value"]) if v["tuple"] else v["value"]
-        return Transform(fn, values, T.StructType.fromJson(meta["schema"]), meta["assets"])
+        return Frozen(fn, values, T.StructType.fromJson(meta["schema"]), meta["assets"])
 
 
 def _tuples(v: Any) -> Any:
@@ -121,20 +121,20 @@ def write_vocabulary(v: Vocabulary, path: str) -> None:
     v.table.repartition(1).sortWithinPartitions("index").select(line.alias("value")).write.text(path)
 
 
-def analyze(df: DataFrame, fn: Fn) -> Transform:
+def analyze(df: DataFrame, fn: Fn) -> Frozen:
     """Runs the analyzers of a preprocessing function over df."""
     values, t, out, phases = P.phases(df, fn)
-    result = Transform(fn, values, df.schema)
+    result = Frozen(fn, values, df.schema)
     result.phases = phases
     return result
 
 
-def fit_transform(df: DataFrame, fn: Fn, passthrough: Sequence[str] = ()) -> tuple[DataFrame, Transform]:
+def fit_apply(df: DataFrame, fn: Fn, passthrough: Sequence[str] = ()) -> tuple[DataFrame, Frozen]:
     found = analyze(df.drop(*passthrough), fn)
-    return found.transform(df, passthrough), found
+    return found.apply(df, passthrough), found
 
 
-def analyze_with_cache(datasets: Mapping[str, DataFrame | None], fn: Fn, cache: AnalysisCache) -> Transform:
+def analyze_with_cache(datasets: Mapping[str, DataFrame | None], fn: Fn, cache: AnalysisCache) -> Frozen:
     """Like analyze over the union of named datasets; partial results of each are read from the cache or put there.
 
     A dataset whose partial results are all cached may be given as None.
@@ -146,17 +146,17 @@ def analyze_with_cache(datasets: Mapping[str, DataFrame | None], fn: Fn, cache:
     for d in there[1:]:
         union = union.unionByName(d)
     values, t, out, phases = P.phases(union, fn, solver(datasets, cache))
-    result = Transform(fn, values, there[0].schema)
+    result = Frozen(fn, values, there[0].schema)
     result.phases = phases
     return result
 
 
-def without_analysis(schema: T.StructType, fn: Fn, spark: SparkSession) -> Transform:
-    """A transform of a function that calls no analyzer, made without reading data."""
+def without_analysis(schema: T.StructType, fn: Fn, spark: SparkSession) -> Frozen:
+    """A frozen function that calls no analyzer, made without reading data."""
     t, _ = P.trace(spark.createDataFrame([], schema), fn, {})
     if t.calls or t.pending:
         raise ValueError("the function calls analyzers")
-    return Transform(fn, {}, schema)
+    return Frozen(fn, {}, schema)
 
 
 def remove(path: str) -> None:

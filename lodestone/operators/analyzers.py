@@ -487,21 +487,34 @@ def tukey_h_params(x: Column, output_dtype: str | None = None, name: str | None
 
 
 def custom(inputs: Sequence[Column], analyze: Callable[[DataFrame], DataFrame], name: str | None = None) -> Any:
-    """A user's full-pass aggregate: analyze gets a frame of the inputs (c0, c1, ...) and returns one row; a tuple of literals, or placeholders."""
+    """A user's full-pass aggregate: analyze gets a frame of the inputs (c0, c1, ...) and returns one row; a tuple of literals, or a placeholder."""
     t = Trace.current()
     acc = lambda df: analyze(df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]))
-    value = t.request("custom", list(inputs), lambda: TableState(acc, lambda p: tuple(p.first())), getattr(analyze, "__name__", ""), name)
+    value = t.request("custom", list(inputs), lambda: TableState(acc, lambda p: tuple(p.first())), None, name, [analyze])
     return t.placeholder() if value is PENDING else tuple(literal(v) for v in value)
 
 
 class CacheableAnalyzer:
-    """A user's mergeable aggregate: make partial rows, merge them, extract values."""
+    """A user's mergeable aggregate: make partial rows, merge them, extract values.
 
-    def __init__(self, make: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], extract: Callable[[Any], Sequence]):
+    encode and decode, if given, turn a partial frame into the one that a cache
+    keeps and back.
+    """
+
+    def __init__(
+        self,
+        make: Callable[[DataFrame], DataFrame],
+        merge: Callable[[DataFrame], DataFrame],
+        extract: Callable[[Any], Sequence],
+        encode: Callable[[DataFrame], DataFrame] | None = None,
+        decode: Callable[[DataFrame], DataFrame] | None = None,
+    ):
         self.make, self.merge, self.extract = make, merge, extract
+        self.encode, self.decode = encode or (lambda p: p), decode or (lambda p: p)
 
     def __call__(self, *inputs: Column, name: str | None = None) -> Any:
         t = Trace.current()
-        acc = lambda df: self.make(df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]))
-        value = t.request("cacheable", list(inputs), lambda: TableState(acc, lambda p: tuple(self.extract(self.merge(p).first()))), None, name)
+        acc = lambda df: self.encode(self.make(df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)])))
+        done = lambda p: tuple(self.extract(self.merge(self.decode(p)).first()))
+        value = t.request("cacheable", list(inputs), lambda: TableState(acc, done), None, name, [self.make, self.merge, self.extract, self.encode, self.decode])
         return t.placeholder() if value is PENDING else tuple(literal(v) for v in value)

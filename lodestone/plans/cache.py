@@ -2,53 +2,58 @@
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import files
 from . import trace as P
 
 #: Changes when the layout of partial results does.
-VERSION = "1"
+VERSION = "2"
 
 
 class AnalysisCache:
-    """A folder of entries (dataset, analyzer), each a Parquet table."""
+    """A folder of entries (dataset, analyzer), each a Parquet table, on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.hits = self.misses = 0
 
-    def _entry(self, dataset: str, signature: str) -> str:
-        return f"{self.path}/v{VERSION}/{re.sub(r'[^A-Za-z0-9_.-]', '_', dataset)}/{signature}"
+    def _dataset(self, dataset: str) -> str:
+        return f"{self.path}/v{VERSION}/d-{quote(dataset, safe='')}"
 
     def get(self, dataset: str, signature: str) -> DataFrame | None:
-        where = self._entry(dataset, signature)
-        if os.path.exists(f"{where}/_SUCCESS"):
+        where = f"{self._dataset(dataset)}/{signature}"
+        if files.exists(self.spark, f"{where}/_SUCCESS"):
             self.hits += 1
             return self.spark.read.parquet(where)
         self.misses += 1
         return None
 
     def put(self, dataset: str, signature: str, parts: DataFrame) -> DataFrame:
-        where = self._entry(dataset, signature)
-        temp = f"{where}.{uuid.uuid4().hex}"
+        """Written apart and put in place by one rename; if another run was first, its entry stands."""
+        where = f"{self._dataset(dataset)}/{signature}"
+        temp = f"{self.path}/v{VERSION}/w-{uuid.uuid4().hex}"
         parts.write.parquet(temp)
-        os.rename(temp, where)
+        try:
+            files.make(self.spark, self._dataset(dataset))
+            files.rename(self.spark, temp, where)
+        except FileExistsError:
+            files.remove(self.spark, temp)
         return self.spark.read.parquet(where)
 
     def entry_keys(self, dataset: str) -> list[str]:
-        folder = os.path.dirname(self._entry(dataset, "x"))
-        return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+        return files.names(self.spark, self._dataset(dataset))
 
 
 def needed_datasets(names: Sequence[str], calls: Sequence[P.Call], cache: AnalysisCache) -> list[str]:
     """The datasets that must be read: those of which a partial result is missing."""
-    return [n for n in names if not {c.signature for c in calls} <= set(cache.entry_keys(n))]
+    wanted = {c.signature for c in calls}
+    return [n for n in names if not wanted <= set(cache.entry_keys(n))]
 
 
 def solver(datasets: Mapping[str, DataFrame | None], cache: AnalysisCache):
@@ -56,10 +61,11 @@ def solver(datasets: Mapping[str, DataFrame | None], cache: AnalysisCache):
 
     def solve(_: DataFrame, calls: Sequence[P.Call]) -> dict[str, Any]:
         parts: dict[str, list[DataFrame]] = {c.key: [] for c in calls}
+        names = {c.key: c.signature for c in calls}
         for name, df in datasets.items():
             missing = []
             for c in calls:
-                found = cache.get(name, c.signature)
+                found = cache.get(name, names[c.key])
                 if found is None:
                     missing.append(c)
                 else:
@@ -74,10 +80,10 @@ def solver(datasets: Mapping[str, DataFrame | None], cache: AnalysisCache):
                     one = base.agg(*[a.alias(f"{i}_{n}") for i, c in enumerate(rows) for n, a in c.state.aggs.items()])
                     one = cache.spark.createDataFrame([one.first()], one.schema)
                     for i, c in enumerate(rows):
-                        parts[c.key].append(cache.put(name, c.signature, one.selectExpr(*[f"`{i}_{n}` AS `{n}`" for n in c.state.aggs])))
+                        parts[c.key].append(cache.put(name, names[c.key], one.selectExpr(*[f"`{i}_{n}` AS `{n}`" for n in c.state.aggs])))
                 for c in mine:
                     if isinstance(c.state, P.TableState):
-                        parts[c.key].append(cache.put(name, c.signature, c.state.accumulate(base)))
+                        parts[c.key].append(cache.put(name, names[c.key], c.state.accumulate(base)))
         values = {}
         for c in calls:
             union = parts[c.key][0]

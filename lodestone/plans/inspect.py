@@ -37,7 +37,7 @@ def analyze_input_columns(spark: SparkSession, schema: T.StructType, fn: Callabl
     return _references(df, used, schema.fieldNames())
 
 
-def transform_input_columns(spark: SparkSession, schema: T.StructType, fn: Callable) -> list[str]:
+def output_input_columns(spark: SparkSession, schema: T.StructType, fn: Callable) -> list[str]:
     """Inputs that the outputs read once the analysis is done."""
     df = spark.createDataFrame([], schema)
     known, t, out, _ = P.phases(df, fn)

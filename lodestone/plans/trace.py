@@ -14,18 +14,20 @@ from __future__ import annotations
 import contextvars
 import hashlib
 import json
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from .tables import written
+from .files import stored_bytes
 
-#: Rows of a lookup table that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes, as stored, of a lookup table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 24 << 20
 _active: contextvars.ContextVar["Trace | None"] = contextvars.ContextVar("trace", default=None)
 
 
@@ -55,16 +57,50 @@ class TableState:
 
 @dataclass
 class Call:
+    """An analyzer call. text tells calls apart but for what columns print alike: user functions, and the contents of lookups."""
+
     key: str
     columns: list[Column]
     state: RowState | TableState
-    signature: str
+    text: str
     lookups: list["Lookup"]
+    frame: DataFrame
+
+    def same(self, other: "Call") -> bool:
+        """Whether both compute the same: Spark compares the resolved columns, with the code of Python functions in them."""
+        return self.text == other.text and len(self.lookups) == len(other.lookups) and self.frame.sameSemantics(other.frame)
+
+    @property
+    def signature(self) -> str:
+        """A name of what is computed, for the cache: also by the contents of the tables that the columns are looked up in."""
+        # over a plan without files or row sets, whose hash would be another in each session
+        bare = self.frame.sparkSession.range(0, 0, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
+        parts = [self.text, self.schema.simpleString(), str(bare.select(*self.columns).semanticHash())]
+        for look in self.lookups:
+            row = look.table.agg(F.count("*"), F.sum(F.xxhash64(*look.table.columns).cast("decimal(38,0)"))).first()
+            parts.append(f"{unnumbered(str(look.key))} {look.table.columns} {row[0]} {row[1]}")
+        return hashlib.sha1("\n".join(parts).encode()).hexdigest()
+
+    schema: T.StructType = field(default_factory=T.StructType)
+
+
+def unnumbered(text: str) -> str:
+    """A column's text without the running numbers of lambda variables."""
+    seen: dict[str, str] = {}
+    return re.sub(r"\b([a-z])_(\d+)\b", lambda m: seen.setdefault(m[0], f"{m[1]}_#{len(seen)}"), text)
+
+
+def function_id(f: Callable) -> str:
+    """A name of a function's code and of what it holds on to."""
+    try:
+        return hashlib.sha1(cloudpickle.dumps(f)).hexdigest()
+    except Exception:  # what can't be pickled is known by its identity
+        return f"object {id(f)}"
 
 
 @dataclass
 class Lookup:
-    """A join that the transform makes: key column against a table (key, values...)."""
+    """A join that the outputs need: key column against a table (key, values...)."""
 
     key: Column
     table: DataFrame
@@ -83,6 +119,7 @@ class Trace:
     pending: int = 0
     inputs_used: list[Column] = field(default_factory=list)
     aliases: dict[str, str] = field(default_factory=dict)
+    types: dict[int, tuple] = field(default_factory=dict)
 
     @staticmethod
     def current() -> "Trace":
@@ -96,13 +133,17 @@ class Trace:
         return F.col(f"__pending_{self.pending}__")
 
     def dtype(self, c: Column) -> T.DataType | None:
-        """The type of a column, or None if it depends on an unknown result."""
+        """The type of a column, or None if it depends on an unknown result; each column object is resolved once."""
+        if id(c) in self.types:
+            return self.types[id(c)][1]
         try:
-            return self.df.select(c).schema[0].dataType
+            kind = self.df.select(c).schema[0].dataType
         except AnalysisException as e:
-            if "__pending_" in str(e):
-                return None
-            raise
+            if "__pending_" not in str(e):
+                raise
+            kind = None
+        self.types[id(c)] = (c, kind)
+        return kind
 
     def ready(self, columns: Sequence[Column]) -> bool:
         return all(self.dtype(c) is not None for c in columns)
@@ -113,20 +154,20 @@ class Trace:
         n = self.seen[base]
         return base if n == 1 else f"{base}#{n}"
 
-    def request(self, kind: str, columns: Sequence[Column], state: Callable[[], RowState | TableState], params: Any = None, name: str | None = None) -> Any:
-        """The value of an analyzer call, or PENDING."""
+    def request(self, kind: str, columns: Sequence[Column], state: Callable[[], RowState | TableState], params: Any = None, name: str | None = None, functions: Sequence[Callable] = ()) -> Any:
+        """The value of an analyzer call, or PENDING. params must hold all that the state depends on but columns and functions."""
         key = self.key(kind, name)
         self.inputs_used += list(columns)
         if key in self.known:
             return self.known[key]
         if self.ready(columns):
-            text = json.dumps([kind, params, [str(c) for c in columns]], default=str, sort_keys=True)
-            signature = hashlib.sha1(text.encode()).hexdigest()
-            twin = next((c for c in self.calls if c.signature == signature and len(c.lookups) == len(self.lookups)), None)
+            text = json.dumps([kind, params, [unnumbered(str(c)) for c in columns], [function_id(f) for f in functions]], default=str, sort_keys=True)
+            call = Call(key, list(columns), state(), text, list(self.lookups), self.df.select(*columns), self.df.schema)
+            twin = next((c for c in self.calls if c.same(call)), None)
             if twin is not None:
                 self.aliases[key] = twin.key
                 return PENDING
-            self.calls.append(Call(key, list(columns), state(), signature, list(self.lookups)))
+            self.calls.append(call)
         return PENDING
 
     def join(self, key: Column, table: DataFrame, values: Sequence[str]) -> dict[str, Column]:
@@ -162,7 +203,7 @@ def joined(df: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     for look in lookups:
         name = look.prefix + "key"
         side = look.table.select(F.col(look.table.columns[0]).alias(name), *[F.col(v).alias(look.prefix + v) for v in look.values])
-        if df.isStreaming or look.table.count() <= BROADCAST_ROWS:
+        if stored_bytes(look.table) <= BROADCAST_BYTES:
             side = F.broadcast(side)
         df = df.join(side, look.key == F.col(name), "left").drop(name)
     return df
@@ -203,7 +244,3 @@ def apply(df: DataFrame, t: Trace, out: dict[str, Column], passthrough: Sequence
     """The outputs over df: joins with lookup tables, then one projection."""
     df = joined(df, t.lookups)
     return df.select(*[F.col(f"`{p}`") for p in passthrough], *[c.alias(n) for n, c in out.items()])
-
-
-def rows_to_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return written(spark.createDataFrame(rows, schema).coalesce(1), "lookup")

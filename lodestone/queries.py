@@ -36,14 +36,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _run(df: DataFrame, fn, passthrough=()) -> DataFrame:
-    return analyze(df.drop(*passthrough), fn).transform(df, passthrough)
+    return analyze(df.drop(*passthrough), fn).apply(df, passthrough)
 
 
 def _one_row(df: DataFrame, fn) -> DataFrame:
     """Analyzer results alone: the outputs over a single row of no data."""
     found = analyze(df, fn)
     one = df.sparkSession.createDataFrame([tuple(None for _ in df.columns)], df.schema)
-    return found.transform(one)
+    return found.apply(one)
 
 
 def _r(c: Column, digits: int = 6) -> Column:
@@ -479,7 +479,7 @@ def cached_spans(spark, sf_dir):
     inputs = {"first half": df.filter(half).select("value"), "second half": df.filter(~half).select("value")}
     cache = AnalysisCache(spark, f"{shared_dir(spark).removeprefix('file://')}/cache-{uuid.uuid4().hex}")
     found = analyze_with_cache(inputs, lambda x: {"z": _r(M.scale_to_z_score(x["value"]), 4)}, cache)
-    return found.transform(df.drop("ts"), ("event_id", "event_type"))
+    return found.apply(df.drop("ts"), ("event_id", "event_type"))
 
 
 def queries() -> dict[str, Query]:

@@ -22,7 +22,7 @@ from lodestone.streaming.apply import write_stream
 def run(spark, rows, schema, fn, test=None):
     df = spark.createDataFrame(rows, schema).coalesce(2)
     found = api.analyze(df, fn)
-    return [r.asDict() for r in found.transform(spark.createDataFrame(test, schema) if test is not None else df).collect()]
+    return [r.asDict() for r in found.apply(spark.createDataFrame(test, schema) if test is not None else df).collect()]
 
 
 def column(spark, rows, schema, fn, test=None):
@@ -68,7 +68,7 @@ def test_two_phases_share_one_job_each(spark):
         return {"o": c / A.max(c)}
 
     found = api.analyze(df, fn)
-    assert found.phases == 2 and [r.o for r in found.transform(df).collect()] == [0.75, 0, 1, 0.25]
+    assert found.phases == 2 and [r.o for r in found.apply(df).collect()] == [0.75, 0, 1, 0.25]
 
 
 def test_empty_defaults(spark):
@@ -95,7 +95,7 @@ def test_quantiles_per_key_and_weights(spark):
     found = api.analyze(df, fn)
     assert {r.key: r.bounds for r in got["plain"].collect()} == {"a": [17, 33], "b": [66, 83]}
     assert {r.key: r.bounds for r in got["weighted"].collect()} == {"a": [9, 17], "b": [83, 91]}
-    assert found.transform(spark.createDataFrame([(1.0, "new", 1.0)], df.schema)).first().o == -1
+    assert found.apply(spark.createDataFrame([(1.0, "new", 1.0)], df.schema)).first().o == -1
 
 
 def test_buckets(spark):
@@ -216,7 +216,7 @@ def test_one_scan_for_each_phase(spark, tmp_path):
     spark.range(100).selectExpr("cast(id AS double) AS x", "cast(id % 3 AS string) AS s", "id AS unused").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     found = api.analyze(df, lambda x: {"o": M.scale_to_z_score(x["x"]), "s": M.compute_and_apply_vocabulary(x["s"])})
-    plan = found.transform(df)._jdf.queryExecution().executedPlan().toString()
+    plan = found.apply(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [x") == 1 and "unused" not in plan and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
@@ -227,18 +227,18 @@ def fn_for_storage(x):
 def test_save_load_cache_and_stream(spark, tmp_path):
     df = spark.createDataFrame([(float(i), "abc"[i % 3]) for i in range(30)], "x double, s string")
     found = api.analyze(df, fn_for_storage)
-    want = sorted(map(tuple, found.transform(df).collect()))
+    want = sorted(map(tuple, found.apply(df).collect()))
     found.save(spark, str(tmp_path / "saved"))
-    again = api.Transform.load(spark, str(tmp_path / "saved"))
-    assert sorted(map(tuple, again.transform(df).collect())) == want
+    again = api.Frozen.load(spark, str(tmp_path / "saved"))
+    assert sorted(map(tuple, again.apply(df).collect())) == want
     assert again.vocabulary_by_name("words") == ["c", "b", "a"] and again.vocabulary_size_by_name("words") == 3 and again.num_buckets(spark, "b") == 4
     assert spark.read.text(again.vocabulary_file_by_name("words")).count() == 3
 
     cache = AnalysisCache(spark, str(tmp_path / "cache"))
     spans = {"one": df.filter("x < 11"), "two": df.filter("x >= 11")}
-    assert sorted(map(tuple, api.analyze_with_cache(spans, fn_for_storage, cache).transform(df).collect())) == want
+    assert sorted(map(tuple, api.analyze_with_cache(spans, fn_for_storage, cache).apply(df).collect())) == want
     misses = cache.misses
-    assert sorted(map(tuple, api.analyze_with_cache({"one": None, "two": spans["two"]}, fn_for_storage, cache).transform(df).collect())) == want
+    assert sorted(map(tuple, api.analyze_with_cache({"one": None, "two": spans["two"]}, fn_for_storage, cache).apply(df).collect())) == want
     assert cache.misses == misses and cache.entry_keys("one")
 
     df.write.parquet(str(tmp_path / "in"))
@@ -252,9 +252,9 @@ def test_columns_used_and_passthrough(spark):
     fn = lambda c: {"o": c["x"] - A.mean(c["y"]), "v": M.compute_and_apply_vocabulary(c["s"])}
     schema = df.drop("id").schema
     assert inspect.analyze_input_columns(spark, schema, fn) == ["y", "s"]
-    assert inspect.transform_input_columns(spark, schema, fn) == ["x", "s"]
-    out, found = api.fit_transform(df, fn, ["id"])
-    assert out.columns == ["id", "o", "v"] and found.transform(df.drop("id"), exclude_outputs=["v"]).columns == ["o"]
+    assert inspect.output_input_columns(spark, schema, fn) == ["x", "s"]
+    out, found = api.fit_apply(df, fn, ["id"])
+    assert out.columns == ["id", "o", "v"] and found.apply(df.drop("id"), exclude_outputs=["v"]).columns == ["o"]
     with pytest.raises(ValueError):
         api.without_analysis(schema, fn, spark)
     with pytest.raises(ValueError):

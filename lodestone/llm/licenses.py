@@ -10,6 +10,8 @@ counts.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import small_side, written
 from .words import WordHashes, find_words, grams, word_hashes, words
 
 K = 3
@@ -97,26 +99,59 @@ def compare(span: list[str], template: list[str]) -> tuple[int, int, int]:
     return (sum(m.size for m in blocks), blocks[0].a, blocks[-1].a + blocks[-1].size) if blocks else (0, 0, 0)
 
 
-def _verify(templates: Sequence[tuple[str, str]]):
+def passage(own: list[str], want: list[str], first: int, last: int, low: int, high: int, k: int) -> tuple[int, int, int] | None:
+    """(words in common, first word, word after the last) of a template near a span of votes, if it covers enough.
+
+    First between where the template would begin and end on the outer diagonals,
+    so that a repeat nearby isn't taken for this one; then with GAP more words on both sides.
+    """
+    a, b = max(0, min(first, low)), min(len(own), max(last + k, high + len(want)))
+    for more in (0, GAP):
+        start, end = max(0, a - more), min(len(own), b + more)
+        there, wanted = Counter(own[start:end]), Counter(want)
+        if sum(min(n, there[w]) for w, n in wanted.items()) < COVER * len(want):
+            continue  # not so many words in common, in whatever order
+        common, x, y = compare(own[start:end], want)
+        if common >= COVER * len(want) and common >= PURE * (y - x):
+            return common, start + x, start + y
+    return None
+
+
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of passages (common, template, first, end) those with most words in common, none of which overlaps one before it."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for p in sorted(set(found), key=lambda p: (-p[0], p[1], p[2], p[3])):
+        at = bisect_left(starts, p[3])
+        if at == 0 or ends[at - 1] <= p[2]:
+            starts.insert(at, p[2])
+            ends.insert(at, p[3])
+            out.append(p)
+    return out
+
+
+def _verify(templates: Sequence[tuple[str, str]], k: int):
+    """A function over rows (doc_id, th, text, spans): the passages of each row."""
     known = [words(t) for _, t in templates]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, th, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                own = find_words(text.lower())
+            row, out = [], []
+            for r, (text, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                own, found = find_words(text.lower()), []
                 for s in spans:
-                    want = known[s["template"]]
-                    # widened to where the template would begin and end on the outer diagonals
-                    a = max(0, min(s["first"], s["low"]) - GAP)
-                    b = min(len(own), max(s["last"] + K, s["high"] + len(want)) + GAP)
-                    common, x, y = compare(own[a:b], want)
-                    if common >= COVER * len(want) and common >= PURE * (y - x):
-                        out.append((doc, th, s["template"], a + x, a + y, common / len(want)))
-            d, h, t, a, b, c = zip(*out) if out else ((),) * 6
+                    got = passage(own, known[s["template"]], s["first"], s["last"], s["low"], s["high"], k)
+                    if got is not None:
+                        found.append((got[0], s["template"], got[1], got[2]))
+                best = apart(found)
+                row += [r] * len(best)
+                out += best
+            common, template, first, end = zip(*out) if out else ((),) * 4
+            cover = [round(c / len(known[t]), 6) for c, t in zip(common, template)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d, batch.schema.field(0).type), pa.array(h, pa.int64()), pa.array(t, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.float64())],
-                ["doc_id", "th", "template", "first_word", "end_word", "cover"],
+                [batch.column(0).take(pa.array(row, pa.int32())), pa.array([templates[t][0] for t in template], pa.string()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(cover, pa.float64())],
+                ["doc_id", "license", "first_word", "end_word", "cover"],
             )
 
     return run
@@ -126,8 +161,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, k: i
     """(doc_id, license, first_word, end_word, cover) for every license passage.
 
     Words are counted from 0 and end_word is one past the last; cover is the
-    share of the template found. Of passages that overlap in a document the
-    one with the most words in common stays; ties go to the earlier template.
+    share of the template found. Passages are taken in order of their words in
+    common, ties by earlier template, then by place; one that overlaps a
+    passage taken before is left out, and nothing else is.
     Templates of fewer than k words are never found. Rows that agree in doc_id
     and text count once; a null doc_id is kept; a null or empty text has no
     passage; extra columns are ignored; an empty table gives an empty result.
@@ -153,31 +189,10 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, k: i
         .groupBy("id", "th", "template", "span")
         .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     )
-    # a span of w words in order has at least w + 1 - k * (pieces) votes; one vote is asked here, the words decide
-    size = F.create_map(*[F.lit(x) for t, (_, text) in enumerate(templates) for x in (t, len(words(text)))])
-    likely = merged.filter(F.col("votes") >= F.greatest(F.lit(1), F.floor((size[F.col("template")] - (k - 1)) * 0.25)))
+    # words decide, not votes: a span with a single vote is compared too
     spans = written(
-        likely.groupBy(F.col("id").alias("s_id"), F.col("th").alias("s_th")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "low", "high", "template"))).alias("spans")), "license-spans"
-    )
-    match = F.col("th").eqNullSafe(F.col("s_th")) & F.col("doc_id").eqNullSafe(F.col("s_id"))
-    side = F.broadcast(spans) if spans.count() <= 500_000 else spans.hint("shuffle_hash")
-    found = own.join(side, match).select("doc_id", "th", "text", "spans").dropDuplicates(["doc_id", "th"])
-    found = found.mapInArrow(_verify(templates), f"doc_id {kind}, th bigint, template int, first_word int, end_word int, cover double")
-    return _best(found, templates)
-
-
-def _best(found: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """Of overlapping passages of a document the best."""
-    size = F.create_map(*[F.lit(x) for t, (_, text) in enumerate(templates) for x in (t, len(words(text)))])
-    name = F.create_map(*[F.lit(x) for t, (license_, _) in enumerate(templates) for x in (t, license_)])
-    rows = found.withColumn("common", F.round(F.col("cover") * size[F.col("template")]).cast("int"))
-    by_start = Window.partitionBy("doc_id", "th").orderBy("first_word", "end_word", "template")
-    before = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum((F.coalesce(before, F.lit(-1)) <= F.col("first_word")).cast("int")).over(by_start)
-    best = Window.partitionBy("doc_id", "th", "island").orderBy(F.desc("common"), "template", "first_word", "end_word")
-    return (
-        rows.withColumn("island", island)
-        .withColumn("n", F.row_number().over(best))
-        .filter("n = 1")
-        .select("doc_id", name[F.col("template")].alias("license"), "first_word", "end_word", F.round("cover", 6).alias("cover"))
+        merged.groupBy(F.col("id").alias("s_id"), F.col("th").alias("s_th")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "low", "high", "template"))).alias("spans")), "license-spans"
     )
+    match = F.col("th").eqNullSafe(F.col("s_th")) & F.col("id").eqNullSafe(F.col("s_id"))
+    found = own.withColumnRenamed("doc_id", "id").join(small_side(spans), match).select("id", "th", "text", "spans").dropDuplicates(["id", "th"])
+    return found.mapInArrow(_verify(templates, k), f"doc_id {kind}, license string, first_word int, end_word int, cover double")

@@ -151,6 +151,59 @@ def test_licenses(spark):
         assert max(licenses.compare(found, words(t))[0] / len(words(t)) for n, t in licenses.TEMPLATES if n == r.license) >= licenses.COVER
 
 
+def brute_licenses(texts, templates, k=licenses.K):
+    """Votes, diagonals, spans and passages by plain loops."""
+    out = set()
+    for i, text in enumerate(texts):
+        own, found = words(text), []
+        for t, (_, template) in enumerate(templates):
+            want, lines = words(template), {}
+            for at in range(len(own) - k + 1):
+                for pos in range(len(want) - k + 1):
+                    if own[at : at + k] == want[pos : pos + k]:
+                        lines.setdefault(at - pos, []).append(at)
+            spans, before = [], None
+            for d in sorted(lines):
+                a, b = min(lines[d]), max(lines[d])
+                if before is None or d - before[0] > licenses.DRIFT or max(a, before[1]) - min(b, before[2]) > licenses.GAP + k:
+                    spans.append([a, b, d, d])
+                else:
+                    spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1]), spans[-1][2], d]
+                before = (d, a, b)
+            for a, b, low, high in spans:
+                got = licenses.passage(own, want, a, b, low, high, k)
+                if got:
+                    found.append((-got[0], t, got[1], got[2]))
+        taken = []
+        for c, t, a, b in sorted(set(found)):
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                out.add((i, templates[t][0], a, b))
+    return out
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(22)
+    a, b, c, d = (prose(rng, n) for n in (16, 14, 8, 40))
+    b = " ".join(a.split()[-6:] + b.split()[:4] + c.split()[:4])
+    templates = (("A", a), ("B", b), ("C", c), ("D", d))
+    changed = d.split()
+    for k in range(0, 30, 3):
+        changed[k] = f"other{k}"
+    texts = [
+        f"{prose(rng, 9)} {a} {' '.join(b.split()[6:10])} {c} {prose(rng, 9)}",  # A and C whole, B across both
+        f"{prose(rng, 5)} {' '.join(changed)} {prose(rng, 5)}",  # 30 of 40 words, few votes
+        f"{c}. {c}. {c}",  # short and repeated nearby
+        f"{prose(rng, 50)} {a} {prose(rng, 50)} {a}",
+        "",
+    ]
+    texts += [edited(rng, f"{prose(rng, 20)} {rng.choice([a, b, c, d])} {prose(rng, 8)} {rng.choice([a, b, c, d])}", 0.06) for _ in range(60)]
+    got = {(r.doc_id, r.license, r.first_word, r.end_word) for r in licenses.scan(table(spark, texts), templates).collect()}
+    assert got == brute_licenses(texts, templates)
+    assert {x[1] for x in got if x[0] == 0} == {"A", "C"} and {x[1] for x in got if x[0] == 1} == {"D"}
+    assert len([x for x in got if x[0] == 2]) == 3
+
+
 def brute_scores(texts, beta, gain):
     order = suffix_tree.ORDER
     raw = [t.encode() for t in texts]

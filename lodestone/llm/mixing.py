@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .storage import written
 
 #: Tokens that the registered query and the pipeline ask for, as a share of all; no small source bounds the others.
 SHARE = 1.0
-#: The dynamic programme runs on at most so many tokens; whole documents are added in order of the fractions lost in rounding until the rest is below it.
+#: Tokens that the dynamic programme begins with; it gets more where these can't be spent to the token.
 DP_TOKENS = 1 << 16
 
 
@@ -31,10 +32,13 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that their sum is the largest one within the budget.
 
     Reachable sums are the bits of an integer; counts are split into powers of
-    two, and the layers are kept to walk back from the best sum.
+    two, and for each sum the step that first reached it is kept, to walk back
+    from the best one: 4 bytes for each token of the budget.
     """
-    goal, reach, layers = 1 << budget, 1, []
-    full = (goal << 1) - 1
+    goal, reach = 1 << budget, 1
+    full, size = (goal << 1) - 1, budget // 8 + 1
+    steps: list[tuple[int, int]] = []
+    first = np.zeros(budget + 1, np.int32)
     for i, (n, have) in enumerate(zip(lengths, counts)):
         if n <= 0 or n > budget:
             continue
@@ -43,36 +47,47 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             step = min(part, have)
             have, part = have - step, part * 2
             if step * n <= budget:
-                layers.append((i, step, reach))
-                reach = (reach | reach << step * n) & full
+                new = (reach << step * n) & full & ~reach
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(size, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((i, step))
+                reach |= new
     best, take = reach.bit_length() - 1, [0] * len(lengths)
-    for i, step, before in reversed(layers):
-        if not before >> best & 1:
-            take[i] += step
-            best -= step * lengths[i]
+    while best:
+        i, step = steps[first[best]]
+        take[i] += step
+        best -= step * lengths[i]
     return take
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """Documents to take of each length: in proportion, then by fractions, then exactly."""
+def fit(lengths: list[int], counts: list[int], budget: int, window: int = DP_TOKENS) -> list[int]:
+    """Documents to take of each length: in proportion, then by fractions down to the window, then by the dynamic programme.
+
+    If that doesn't spend the budget to the token, the window is widened
+    fourfold, until it holds the whole remainder of the proportional part.
+    """
     have = sum(n * c for n, c in zip(lengths, counts))
     if have <= budget:
         return list(counts)
-    take = [c * budget // have for c in counts]
-    left = budget - sum(n * x for n, x in zip(lengths, take))
+    share = [c * budget // have for c in counts]
+    rest = budget - sum(n * x for n, x in zip(lengths, share))
     order = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % have), lengths[i]))
-    for i in order:
-        if left <= DP_TOKENS:
-            break
-        if take[i] < counts[i] and 0 < lengths[i] <= left:
-            take[i], left = take[i] + 1, left - lengths[i]
-    if left > DP_TOKENS:
-        # only documents longer than the window are left over; the largest that fit
-        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-            more = min(counts[i] - take[i], left // lengths[i] if lengths[i] else 0) if left > DP_TOKENS else 0
-            take[i], left = take[i] + more, left - more * lengths[i]
-    more = knapsack(lengths, [c - x for c, x in zip(counts, take)], min(left, DP_TOKENS))
-    return [x + y for x, y in zip(take, more)]
+    best, most = share, -1
+    while True:
+        take, left = list(share), rest
+        for i in order:
+            if left <= window:
+                break
+            if take[i] < counts[i] and 0 < lengths[i] <= left:
+                take[i], left = take[i] + 1, left - lengths[i]
+        more = knapsack(lengths, [c - x for c, x in zip(counts, take)], left)
+        take = [x + y for x, y in zip(take, more)]
+        spent = sum(n * x for n, x in zip(lengths, take))
+        if spent > most:
+            best, most = take, spent
+        if most == budget or window >= rest:
+            return best
+        window *= 4
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,6 +163,5 @@ def mixture(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mixture() chooses, with all their columns."""
     keys = mixture(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"))
-    own = docs.withColumn("__th", F.xxhash64("text"))
-    match = own["__th"].eqNullSafe(keys["__h"]) & own["doc_id"].eqNullSafe(keys["__id"]) & own["source"].eqNullSafe(keys["__s"])
-    return own.join(keys.hint("shuffle_hash"), match, "left_semi").drop("__th")
+    match = F.xxhash64(docs["text"]).eqNullSafe(keys["__h"]) & docs["doc_id"].eqNullSafe(keys["__id"]) & docs["source"].eqNullSafe(keys["__s"])
+    return docs.join(keys.hint("shuffle_hash"), match, "left_semi")

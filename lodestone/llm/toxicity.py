@@ -24,12 +24,10 @@ from .words import words
 
 #: Labelled documents that are used to fit; a seeded hash chooses them if there are more.
 FIT_ROWS = 20_000
-#: Features in the model.
-FEATURES = 4096
-#: A feature must be in so many labelled documents, and its shares among toxic and other ones so many deviations apart.
+#: A feature must be in so many labelled documents, and its shares among toxic and other ones so many deviations apart. All that are enter the model.
 LEAST_DOCS, LEAST_Z = 3, 4.0
 PREFIX = 4
-#: The bias is at most this, so a document without any telling feature isn't rejected whatever the labels' share.
+#: The fit is constrained to a bias of at most this, so that a document without any telling feature isn't rejected whatever the labels' share.
 MOST_BIAS = -1.0
 IDENTITY = (
     "women men woman man girls boys gay lesbian straight bisexual transgender queer muslim muslims christian christians jewish jews "
@@ -74,7 +72,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_logistic(
     rows: list[np.ndarray], y: np.ndarray, diffs: list[tuple[np.ndarray, np.ndarray]], size: int, fairness: float, l2: float = 0.1, steps: int = 300
 ) -> np.ndarray:
-    """Weights and, last, the bias. rows: features of each document; diffs: features gained and lost by a swap."""
+    """Weights and, last, the bias, which stays at MOST_BIAS or below. rows: features of each document; diffs: features gained and lost by a swap."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, int)
     d_at = np.concatenate([np.repeat(k, len(a) + len(b)) for k, (a, b) in enumerate(diffs)]) if diffs else np.zeros(0, int)
@@ -93,6 +91,7 @@ def fit_logistic(
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (0.99 ** (t / 3)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w[-1] = min(w[-1], MOST_BIAS)
     return w
 
 
@@ -127,7 +126,8 @@ def train(
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
         .filter(F.col("pos") + F.col("neg") >= LEAST_DOCS)
     )
-    names = [r[0] for r in counted.filter(z >= LEAST_Z).orderBy(z.desc(), "f").limit(FEATURES).select("f").collect()]
+    # words of at most fit_rows documents
+    names = sorted(r[0] for r in counted.filter(z >= LEAST_Z).select("f").collect())
     index = {f: k for k, f in enumerate(names)}
 
     def ids(found: set[str]) -> list[int]:
@@ -155,7 +155,6 @@ def train(
             for more, less in zip(pdf["more"], pdf["less"]):
                 diffs += [(np.asarray(g, int), np.asarray(l, int)) for g, l in zip(more, less) if len(g) + len(l)]
         w = fit_logistic(x, np.asarray(y, float), diffs, len(names), fairness)
-        w[-1] = min(w[-1], MOST_BIAS)
         yield pd.DataFrame({"f": [*names, ""], "w": w})
 
     encoded = texts.mapInArrow(rows, "x array<int>, y int, more array<array<int>>, less array<array<int>>")
@@ -187,14 +186,21 @@ def scored(docs: DataFrame, model: dict[str, float]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """(doc_id, toxicity, toxic) for every row of docs; repeated rows have the same score, a null doc_id stays null."""
+    """(doc_id, toxicity, toxic) for every row of docs.
+
+    Rows with one text have one score, a null or empty text that of the bias
+    alone; a null doc_id stays null. Extra columns are ignored; an empty table
+    gives an empty result. train() says what labels count.
+    """
     out = scored(docs.select("doc_id", "text"), train(docs, labels, **options))
     return out.select("doc_id", F.round("toxicity", 6).alias("toxicity"), (F.col("toxicity") >= threshold).alias("toxic"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with docs' columns."""
-    names = docs.columns
-    bare = docs.withColumnRenamed("toxicity", "__own_toxicity")
-    out = scored(bare, train(docs, labels, **options)).filter(F.col("toxicity") < threshold).drop("toxicity")
-    return out.withColumnRenamed("__own_toxicity", "toxicity").select(*names)
+    """The rows of docs whose score is below the threshold, with docs' columns, whatever their names.
+
+    A null or empty text stays; repeated rows stay or go together. An empty
+    table gives an empty result.
+    """
+    both = scored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), train(docs, labels, **options))
+    return both.filter(F.col("toxicity") < threshold).select("row.*")

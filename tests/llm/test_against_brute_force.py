@@ -551,3 +551,51 @@ def test_pack_covers_every_token(spark):
 
 def test_words_agree_with_re2_pattern():
     assert words("Ab_1, cd-éf\n") == ["ab_1", "cd", "éf"] and re.findall(r"\w+", "x") == ["x"]
+
+
+def test_packed_sequences_hold_every_token_once(spark):
+    rng = random.Random(23)
+    texts = [prose(rng, rng.choice([1, 7, 40, 300])) for _ in range(60)] + [prose(rng, 1500), "", " \n "]
+    docs = table(spark, texts)
+    packed = packing.pack(docs, lengths=(64, 128, 512))
+    rows = packing.sequences(docs, packed).collect()
+    assert all(len(r.text.split()) == r.n_tokens <= r.capacity for r in rows)
+    assert Counter(w for r in rows for w in r.text.split()) == Counter(w for t in texts for w in t.split())
+
+
+@given(st.lists(st.integers(1, 16), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_packing_against_the_optimum(pieces):
+    pieces = sorted(pieces, reverse=True)
+    sizes = (4, 8, 16)
+
+    def least(rest, bins):
+        if not rest:
+            return sum(packing.cost(next(c for c in sizes if c >= b)) for b in bins)
+        out = least(rest[1:], bins + [rest[0]])
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= 16:
+                out = min(out, least(rest[1:], bins[:k] + [bins[k] + rest[0]] + bins[k + 1 :]))
+        return out
+
+    where, filled, final = packing.pack_lengths(pieces, sizes)
+    assert [sum(n for n, w in zip(pieces, where) if w == b) for b in range(len(filled))] == filled
+    assert all(f <= c for f, c in zip(filled, final))
+    assert sum(map(packing.cost, final)) <= 1.3 * least(pieces, []) + 1e-9
+
+
+def test_knapsack_beyond_the_first_window():
+    lengths, counts = [997, 1009, 4001, 7919], [40, 30, 20, 10]
+    budget = 151_000
+    best = 0
+    for d in range(11):
+        for c in range(21):
+            for b in range(31):
+                left = budget - 7919 * d - 4001 * c - 1009 * b
+                if left >= 0:
+                    best = max(best, budget - left + 997 * min(40, left // 997))
+    take = mixing.fit(lengths, counts, budget, window=16)
+    assert all(x <= c for x, c in zip(take, counts)) and sum(n * x for n, x in zip(lengths, take)) <= budget
+    whole = mixing.knapsack(lengths, counts, budget)
+    assert sum(n * x for n, x in zip(lengths, whole)) == best
+    assert sum(n * x for n, x in zip(lengths, take)) >= best - 997

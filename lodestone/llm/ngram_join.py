@@ -43,7 +43,7 @@ FLUSH, FLUSH_DOCS = 2_000_000, 65_000
 #: Of an n-gram that several documents of the task have, so no number is sent.
 _SEVERAL = 0xFFFF
 #: Input bytes for each part of the domain of n-grams; the number of parts only bounds what one step holds.
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 8 << 20, 16, 1 << 17
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 2 << 20, 16, 1 << 17
 _U = np.uint64
 
 

@@ -7,6 +7,7 @@ reduced over all their elements, or with elementwise=True by position.
 
 from __future__ import annotations
 
+import builtins
 import math
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -20,6 +21,7 @@ from ..functions.columns import is_finite
 from ..plans.tables import written
 from ..plans.trace import PENDING, RowState, TableState, Trace
 
+builtins_max, builtins_min = builtins.max, builtins.min  # this module has its own
 _FLOATS = (T.FloatType, T.DoubleType)
 _BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
@@ -282,14 +284,84 @@ def _cuts(num_buckets: int, total: Column) -> list[Column]:
     ]
 
 
+#: Cells between the marks of a sketch of the data, by whose exact totals a quantile is found.
+CELLS = 128
+
+
+def _cell(marks: Sequence[float], first: int = 0) -> Column:
+    """Number of the cell of v among sorted marks, by halving: v in cell i is at least mark i - 1 and less than mark i."""
+    if not marks:
+        return F.lit(first)
+    mid = len(marks) // 2
+    return F.when(F.col("v") < F.lit(marks[mid]), _cell(marks[:mid], first)).otherwise(_cell(marks[mid + 1 :], first + mid + 1))
+
+
+def located_quantiles(flat: DataFrame, num_buckets: int) -> list[float]:
+    """Exact boundaries of (v, w) without sorting all values: a mergeable sketch sets marks, totals between marks tell the cells of the boundaries, and only what is in these is sorted."""
+    ranks = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    row = flat.agg(F.kll_sketch_agg_double("v", F.lit(1024)).alias("s"), F.count("v").alias("n")).select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", ranks)).alias("q")).first()
+    if row["q"] is None:
+        return [0.0] * (num_buckets - 1)
+    marks = sorted(set(row["q"]))
+    celled = flat.withColumn("cell", _cell(marks))
+    totals = {r["cell"]: r["w"] for r in celled.groupBy("cell").agg(F.sum("w").alias("w")).collect()}  # one row for each cell
+    total = float(np.sum(list(totals.values())))
+    if not total:
+        return [0.0] * (num_buckets - 1)
+    start, at, wanted = {}, 0.0, {}
+    for cell in sorted(totals):
+        start[cell], at = at, at + totals[cell]
+        for k in range(1, num_buckets):
+            if k not in wanted and at > total * k / num_buckets + total * 1e-12:
+                wanted[k] = cell
+    last = builtins_max(totals)
+    wanted = {k: wanted.get(k, last) for k in range(1, num_buckets)}
+    inside = celled.filter(F.col("cell").isin(sorted(set(wanted.values()))))
+    table = ranked(inside.groupBy("v").agg(F.sum("w").alias("w"), F.count("*").alias("c")))
+    before, own = 0.0, {}
+    for cell in sorted(set(wanted.values())):
+        own[cell], before = start[cell] - before, before + totals[cell]  # weight that is left out below the cell
+    table = table.withColumn("cell", _cell(marks))
+    cuts = []
+    for k, cell in wanted.items():
+        above = F.col("below_w") + F.lit(own[cell]) + F.col("w") > total * k / num_buckets + total * 1e-12
+        here = F.col("cell") == cell
+        cuts.append(F.coalesce(F.min(F.when(here & above, F.col("v"))), F.max(F.when(here, F.col("v")))).cast("float").cast("double").alias(f"q{k}"))
+    row = table.agg(*cuts).first()
+    return [row[f"q{k}"] for k in range(1, num_buckets)]
+
+
+def sketch_size(epsilon: float) -> int:
+    """Size of a sketch whose ranks are off by at most about epsilon."""
+    return int(builtins_min(65535, builtins_max(8, math.ceil((2.296 / epsilon) ** (1 / 0.9021)))))
+
+
+def _sketched(x: Column, num_buckets: int, epsilon: float) -> TableState:
+    """Boundaries within epsilon of their rank, from sketches that merge."""
+    ranks = F.array(*[F.lit(k / num_buckets) for k in range(1, num_buckets)])
+    size = F.lit(sketch_size(epsilon))
+
+    def accumulate(df: DataFrame) -> DataFrame:
+        flat = exploded(df, [x], ["v"]).select(F.col("v").cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+        return flat.agg(F.kll_sketch_agg_double("v", size).alias("s"), F.count("v").alias("n")).filter("n > 0")
+
+    def finish(parts: DataFrame) -> list[float]:
+        got = parts.agg(F.kll_merge_agg_double("s").alias("s"), F.sum("n").alias("n")).select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", ranks)).alias("q")).first()["q"]
+        return [float(np.float32(v)) for v in got] if got else [0.0] * (num_buckets - 1)
+
+    return TableState(accumulate, finish)
+
+
 def _merge_weights(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parts.groupBy(*keys, "v").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
 
 
-def quantile_list(x: Column, num_buckets: int, weights: Column | None = None, elementwise: bool = False, name: str | None = None) -> Any:
+def quantile_list(x: Column, num_buckets: int, weights: Column | None = None, elementwise: bool = False, name: str | None = None, epsilon: float | None = None) -> Any:
     """Interior boundaries as a list (of lists by position); all 0 without data."""
     if num_buckets < 1:
         raise ValueError("num_buckets must be positive")
+    if epsilon is not None and not 0 < epsilon < 1:
+        raise ValueError("epsilon must be between 0 and 1")
     t = Trace.current()
     names = [f"q{k}" for k in range(1, num_buckets)]
 
@@ -306,13 +378,29 @@ def quantile_list(x: Column, num_buckets: int, weights: Column | None = None, el
         row = table.agg(*_cuts(num_buckets, F.lit(float(total)))).first()
         return [row[n] for n in names]
 
+    def direct(df: DataFrame) -> Any:
+        flat = exploded(df, [x, weights if weights is not None else F.lit(1.0)], ["v", "w"]).select(F.col("v").cast("double").alias("v"), F.col("w").cast("double").alias("w"))
+        return located_quantiles(flat.filter("v IS NOT NULL AND NOT isnan(v)"), num_buckets)
+
+    def state() -> TableState:
+        if epsilon is not None and weights is None and not elementwise and names:
+            return _sketched(x, num_buckets, epsilon)
+        return TableState(lambda df: value_weights(df, x, weights, (), elementwise), finish, None if elementwise or not names else direct)
+
     columns = [x] + ([weights] if weights is not None else [])
-    return t.request("quantiles", columns, lambda: TableState(lambda df: value_weights(df, x, weights, (), elementwise), finish), {"B": num_buckets, "elementwise": elementwise}, name)
+    return t.request("quantiles", columns, state, {"B": num_buckets, "elementwise": elementwise, "epsilon": epsilon}, name)
 
 
 def quantiles(x: Column, num_buckets: int, epsilon: float | None = None, weights: Column | None = None, elementwise: bool = False, name: str | None = None) -> Column:
-    """num_buckets - 1 boundaries as an array. They are exact, so epsilon, an error bound, always holds."""
-    return _out(quantile_list(x, num_buckets, weights, elementwise, name), "array<double>" if elementwise else "double")
+    """num_buckets - 1 boundaries as an array.
+
+    Without epsilon they are exact: one scan sketches the data, one totals the
+    cells between the sketch's marks, and only cells with a boundary are sorted.
+    With epsilon one scan makes a mergeable sketch, and each boundary's rank is
+    off by about epsilon of the rows at most; with weights or elementwise they
+    are exact all the same.
+    """
+    return _out(quantile_list(x, num_buckets, weights, elementwise, name, epsilon), "array<double>" if elementwise else "double")
 
 
 def per_group_quantiles(values: DataFrame, keys: Sequence[str], num_buckets: int) -> DataFrame:
@@ -374,36 +462,46 @@ def histogram(x: Column, boundaries: int | Sequence[float] | None = None, catego
 
 
 def _gram(df: DataFrame, x: Column) -> DataFrame:
-    """One row (n, sums, products) for each partition's share of the vectors."""
+    """One row for each partition's vectors: their number, sums, and products of their distances from their own mean."""
 
     def run(frames):
-        n, s, p = 0, None, None
+        n, mean, p = 0, None, None
         for pdf in frames:
             rows = [v for v in pdf["x"] if v is not None and len(v)]
             if rows:
                 m = np.stack(rows).astype(float)
-                n += len(m)
-                s = m.sum(axis=0) if s is None else s + m.sum(axis=0)
-                p = m.T @ m if p is None else p + m.T @ m
+                k, own = len(m), m.mean(axis=0)
+                d = m - own
+                q = d.T @ d
+                if n:
+                    away = own - mean
+                    q += p + np.outer(away, away) * (n * k / (n + k))
+                    own = mean + away * (k / (n + k))
+                n, mean, p = n + k, own, q
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s], "p": [p.ravel()]})
+            yield pd.DataFrame({"n": [n], "s": [mean * n], "p": [p.ravel()]})
 
     return df.select(x.cast("array<double>").alias("x")).mapInPandas(run, "n bigint, s array<double>, p array<double>")
 
 
 def _covariance(x: Column, name: str | None, kind: str) -> Any:
     def finish(parts: DataFrame) -> list[list[float]]:
-        by = parts.select("n", F.posexplode(F.concat("s", "p")).alias("i", "v"), F.size("s").alias("d"))
-        rows = by.groupBy("i").agg(F.sum("v").alias("v"), F.max("d").alias("d")).orderBy("i").collect()  # d + d * d rows
-        n = parts.agg(F.sum("n")).first()[0]
-        if not n:
+        sums = parts.select("n", F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").collect()  # one row for each dimension
+        if not sums:
             return []
-        d = rows[0]["d"]
-        v = np.array([r["v"] for r in rows]) / n
-        mu, second = v[:d], v[d:].reshape(d, d)
-        return (second - np.outer(mu, mu)).tolist()
+        n, mean = sums[0]["n"], np.array([r["v"] for r in sums]) / sums[0]["n"]
+
+        def about_mean(frames):
+            for pdf in frames:
+                for k, s, p in zip(pdf["n"], pdf["s"], pdf["p"]):
+                    d = np.asarray(s) / k - mean
+                    yield pd.DataFrame({"p": [np.asarray(p) + (np.outer(d, d) * k).ravel()]})
+
+        moved = parts.mapInPandas(about_mean, "p array<double>").select(F.posexplode("p").alias("i", "v"))
+        rows = moved.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one row for each cell
+        return (np.array([r["v"] for r in rows]) / n).reshape(len(mean), len(mean)).tolist()
 
-    return Trace.current().request(kind, [x], lambda: TableState(lambda df: _gram(df, x), finish), None, name)
+    return Trace.current().request(kind, [x], lambda: TableState(lambda df: written(_gram(df, x), "gram"), finish), None, name)
 
 
 def covariance(x: Column, dtype: str = "float", name: str | None = None) -> Column:
@@ -460,7 +558,6 @@ def l_moments(x: Column, name: str | None = None) -> Any:
     return Trace.current().request("l_moments", [x], lambda: TableState(lambda df: value_weights(df, x, None), finish), None, name)
 
 
-builtins_max = __builtins__["max"] if isinstance(__builtins__, dict) else __builtins__.max
 
 
 def tukey_parameters(x: Column, name: str | None = None) -> Any:

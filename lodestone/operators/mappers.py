@@ -7,6 +7,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
@@ -133,9 +135,9 @@ def apply_buckets_with_interpolation(x: Column, bucket_boundaries: Column | Sequ
 
 
 def bucketize(x: Column, num_buckets: int, epsilon: float | None = None, weights: Column | None = None, elementwise: bool = False, name: str | None = None) -> Column:
-    """Bucket by exact quantiles; epsilon, an error bound, always holds."""
+    """Bucket by quantiles, which are exact without epsilon; see quantiles()."""
     if not isinstance(num_buckets, int):
-        raise TypeError("num_buckets must be an int")
+        raise TypeError(f"{num_buckets!r} buckets: a whole number is needed")
     if num_buckets < 1:
         raise ValueError("num_buckets must be positive")
     bounds = A.quantiles(x, num_buckets, epsilon, weights, elementwise, name)
@@ -200,24 +202,32 @@ def apply_vocabulary(x: Column, vocab: Vocabulary | Any, *, default_value: int =
         return F.when(x.isNotNull(), F.coalesce(got["index"], missing(x)))
     if isinstance(kind.elementType, T.ArrayType):
         raise ValueError("flatten nested arrays before a vocabulary is applied")
-    tokens = F.transform(x, clean)
+    tokens = F.transform(x, clean) if vocab.store_frequency or not isinstance(kind.elementType, T.StringType) else x
+    if not num_oov_buckets:
+        return _lookup_array(tokens, vocab, default_value)
     found = _lookup_array(tokens, vocab)
     return F.transform(F.arrays_zip(x.alias("a"), found.alias("b")), lambda p: F.coalesce(p["b"], missing(p["a"])))
 
 
-def _lookup_array(tokens: Column, vocab: Vocabulary) -> Column:
-    """Indices of an array's tokens, null where there is none, in order."""
+def _lookup_array(tokens: Column, vocab: Vocabulary, default: int | None = None) -> Column:
+    """Indices of an array's tokens in order; default where there is none."""
     t = Trace.current()
     if vocab.size > DICT_ROWS:
-        return _joined_array(tokens, vocab.table)
-    index = t.df.sparkSession.sparkContext.broadcast({r["token"]: r["index"] for r in vocab.table.select("token", "index").collect()})
-
-    @F.pandas_udf("array<bigint>")
-    def find(arrays: pd.Series) -> pd.Series:
-        get = index.value.get
-        return arrays.map(lambda a: None if a is None else [get(w) for w in a])
-
-    return find(tokens)
+        got = _joined_array(tokens, vocab.table)
+        return got if default is None else F.transform(got, lambda i: F.coalesce(i, F.lit(default).cast("bigint")))
+    known = vocab.table.select("token", "index").toArrow()  # at most DICT_ROWS
+    index = t.df.sparkSession.sparkContext.broadcast((known.column("token").combine_chunks(), known.column("index").combine_chunks()))
+
+    def find(arrays: pa.Array) -> pa.Array:
+        words, places = index.value
+        flat = arrays.flatten()
+        got = places.take(pc.index_in(flat.cast(words.type), value_set=words)) if len(words) else pa.nulls(len(flat), pa.int64())
+        if default is not None:
+            got = pc.fill_null(got, default)
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), got.cast(pa.int64()), mask=arrays.is_null())
+
+    return F.arrow_udf(find, "array<bigint>")(tokens)
 
 
 def _joined_array(tokens: Column, table: DataFrame) -> Column:

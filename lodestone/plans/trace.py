@@ -53,6 +53,7 @@ class TableState:
 
     accumulate: Callable[[DataFrame], DataFrame]
     finish: Callable[[DataFrame], Any]
+    direct: Callable[[DataFrame], Any] | None = None  # the value of one dataset without partial results, if that is cheaper
 
 
 @dataclass
@@ -222,7 +223,7 @@ def compute(df: DataFrame, calls: Sequence[Call]) -> dict[str, Any]:
                 values[c.key] = c.state.finish({n: row[f"{i}.{n}"] for n in c.state.aggs})
         for c in mine:
             if isinstance(c.state, TableState):
-                values[c.key] = c.state.finish(c.state.accumulate(base))
+                values[c.key] = c.state.direct(base) if c.state.direct is not None else c.state.finish(c.state.accumulate(base))
     return values
 
 

@@ -387,9 +387,10 @@ def brute_marginals(model, g):
 
 def test_messages_are_exact_on_trees():
     g = pii.Graph()
-    g.add("call +1 (555) 555-1234 now", 0)
-    assert not g.skip
     model = pii.trained()
+    g.add("+1 (555) 555-1234", 0, pii.Shapes())
+    g.opens = [0]
+    assert not g.skip and len(g.where) == 3
     assert np.allclose(model.marginals(g), brute_marginals(model, g), atol=1e-6)
 
 
@@ -397,15 +398,53 @@ def test_skip_edges_tie_repeated_tokens():
     model = pii.trained()
     g = pii.Graph()
     far = " ".join(["lo"] * 40)
-    g.add(f"12345678901 {far} 12345678901", 0)
+    g.add(f"12345678901 {far} 12345678901", 0, pii.Shapes())
     assert len(g.skip) == 1
     m = model.marginals(g)
     a, b = g.skip[0]
     apart = pii.Graph()
-    apart.add(f"12345678901 {far} 98765432", 0)
+    apart.add(f"12345678901 {far} 98765432", 0, pii.Shapes())
     assert np.abs(m[a] - m[b]).max() < 0.2 and not apart.skip
 
 
+def test_short_graphs_find_what_whole_chains_do():
+    rng, model = random.Random(24), pii.trained()
+    texts = []
+    for tokens, _ in pii.made_sentences(150, seed=99):
+        texts.append(" ".join(x for t in tokens for x in [t, *prose(rng, rng.choice([0, 0, 1, 15])).split()]))
+    texts += [prose(rng, 50), "", "Dear Mr. Baker, " + prose(rng, 60) + " As Baker said"]
+    assert pii.find(texts, model) == pii.find(texts, model, whole=True)
+
+
+def test_private_data_held_out():
+    model = pii.trained()
+    right = wrong = missed = 0
+    for tokens, labels in pii.made_sentences(300, seed=100):
+        text = " ".join(tokens)
+        marked = set()
+        for _, a, b, label in pii.find([text], model):
+            marked |= {(k, label) for k in range(a, b)}
+        at = 0
+        for t, y in zip(tokens, labels):
+            got = {label for k in range(at, at + len(t)) for label in pii.LABELS if (k, label) in marked}
+            at += len(t) + 1
+            right, wrong, missed = right + (y != "O" and y in got), wrong + (y == "O" and bool(got)), missed + (y != "O" and y not in got)
+    assert right / (right + missed) > 0.93 and wrong / (right + wrong) < 0.05
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("password: hunter2", [("hunter2", "SECRET")]), ("pay 4111 1111 1111 1111 by card", [("4111 1111 1111 1111", "CARD")]), ("ssn 123-45-6789", [("123-45-6789", "ID")]),
+        ("call 0151 23456789", [("0151 23456789", "PHONE")]), ("host 2001:db8::1", [("2001:db8::1", "IP")]), ("at 10.0.0.1:8080", [("10.0.0.1", "IP")]), ("+49 151 2345678", [("+49 151 2345678", "PHONE")]),
+        ("write a@x.com,bb@y.org now", [("a@x.com", "EMAIL"), ("bb@y.org", "EMAIL")]), ("Dear Mr. Baker, hello. As Baker said", [("Baker", "NAME"), ("Baker", "NAME")]),
+        ("we met at 12 Oak Street in May", [("12 Oak Street", "ADDRESS")]), ("version 2.0.1 page 7 in 1998", []), ("the password must be long", []), ("10:20:30 and 3,500", []),
+    ],
+)
+def test_private_shapes(text, want):
+    assert [(text[a:b], label) for _, a, b, label in pii.find([text], pii.trained())] == want
+
+
 def jaccard(a, b):
     return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
 

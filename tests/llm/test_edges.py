@@ -94,8 +94,13 @@ def test_lines(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_private(docs, empty):
+def test_private(spark, docs, empty):
     assert pii.private_data(docs).count() == 0 and pii.private_data(empty).count() == 0
+    mail = "write to a.b@x.com or a.b@x.com"
+    data = [(1, mail, "x"), (1, mail, "x"), (None, mail, "x"), (2, None, "x"), (3, "", "x"), (4, "zone " * 100_000 + mail, "x")]
+    got = sorted((r.doc_id or 0, r.start) for r in pii.private_data(spark.createDataFrame(data, "doc_id bigint, text string, label string")).collect())
+    at = [9, 22]
+    assert got == [(0, a) for a in at] + sorted([(1, a) for a in at] * 2) + [(4, 500_000 + a) for a in at]
 
 
 def test_join(docs, empty):

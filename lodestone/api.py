@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
@@ -12,9 +11,12 @@ from typing import Any
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 
-from .operators.vocabulary import Vocabulary
+from .operators.vocabulary import Vocabulary, sanitized_name
+from .plans import files
 from .plans import trace as P
 from .plans.cache import AnalysisCache, solver
+from .plans.tables import Context
+from .schema import Domain, Spec, domains_of, specs_of
 
 Fn = Callable[[Mapping[str, Column]], Mapping[str, Column]]
 
@@ -28,6 +30,7 @@ class Frozen:
 
     def apply(self, df: DataFrame, passthrough: Sequence[str] = (), exclude_outputs: Sequence[str] = ()) -> DataFrame:
         """The outputs, one row for each input row; passthrough columns are carried along unseen by the function."""
+        passthrough = passthrough or Context.current().passthrough or ()
         clash = set(passthrough) & set(self.input_schema.fieldNames())
         if clash:
             raise ValueError(f"passthrough columns are inputs too: {sorted(clash)}")
@@ -46,7 +49,23 @@ class Frozen:
     def output_schema(self, spark: SparkSession) -> T.StructType:
         return self.apply(spark.createDataFrame([], self.input_schema)).schema
 
-    # vocabularies and buckets by name
+    def input_specs(self) -> dict[str, Spec]:
+        return specs_of(self.input_schema)
+
+    def output_specs(self, spark: SparkSession) -> dict[str, Spec]:
+        return specs_of(self.output_schema(spark))
+
+    def input_domains(self) -> dict[str, Domain]:
+        return domains_of(self.input_schema)
+
+    def output_domains(self, spark: SparkSession) -> dict[str, Domain]:
+        """Domains of outputs that are indices or buckets as an operator returned them."""
+        return domains_of(self.output_schema(spark))
+
+    # vocabularies, buckets and assets by name
+    def asset(self, name: str) -> str | None:
+        return self.assets.get(name)
+
     def _vocabulary(self, name: str) -> Vocabulary:
         for v in self.values.values():
             if isinstance(v, Vocabulary) and v.name == name:
@@ -66,42 +85,44 @@ class Frozen:
         return self._annotations(spark)["buckets"][name]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Values as JSON, tables as Parquet, vocabularies also as text, and the function; put in place by one rename."""
-        if os.path.exists(path):
+        """Values as JSON, tables as Parquet, vocabularies also as text, assets, and the function; put in place by one rename, on any file system."""
+        path = path.rstrip("/")
+        if files.exists(spark, path):
             raise FileExistsError(path)
-        temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-        os.makedirs(f"{temp}/tables")
-        os.makedirs(f"{temp}/vocabularies")
-        stored, assets = {}, {}
+        temp = f"{path}.{uuid.uuid4().hex}"
+        files.make(spark, temp)
+        stored, assets, used = {}, {}, set()
         for k, (key, value) in enumerate(self.values.items()):
             if isinstance(value, Vocabulary):
                 value.table.write.parquet(f"{temp}/tables/{k}")
-                meta = {"size": value.size, "unfiltered_size": value.unfiltered_size, "name": value.name, "store_frequency": value.store_frequency}
+                meta = {"size": value.size, "unfiltered_size": value.unfiltered_size, "name": value.name, "store_frequency": value.store_frequency, "file_format": value.file_format}
                 stored[key] = {"vocabulary": k, **meta}
-                write_vocabulary(value, f"{temp}/vocabularies/{value.name}")
-                assets[value.name] = f"{path}/vocabularies/{value.name}"
+                if value.name not in assets:
+                    name = unused(sanitized_name(value.name, "frequency" if value.store_frequency else "plain"), used)
+                    write_vocabulary(value, f"{temp}/vocabularies/{name}")
+                    assets[value.name] = f"{path}/vocabularies/{name}"
             elif isinstance(value, DataFrame):
                 value.write.parquet(f"{temp}/tables/{k}")
                 stored[key] = {"table": k}
             else:
                 stored[key] = {"value": value, "tuple": isinstance(value, tuple)}
-        with open(f"{temp}/values.json", "w") as f:
-            json.dump({"values": stored, "assets": assets, "schema": json.loads(self.input_schema.json())}, f)
-        with open(f"{temp}/function.pkl", "wb") as f:
-            cloudpickle.dump(self.fn, f)
-        os.rename(temp, path)
+        for name, source in (self._annotations(spark).get("assets", {}) | {k: v for k, v in self.assets.items() if k not in assets}).items():
+            safe = unused(re.sub(r"[^\w.\-]+", "_", name).strip("._") or "asset", used)
+            files.copy(spark, source, f"{temp}/assets/{safe}")
+            assets[name] = f"{path}/assets/{safe}"
+        files.write_bytes(spark, f"{temp}/values.json", json.dumps({"values": stored, "assets": assets, "schema": json.loads(self.input_schema.json())}).encode())
+        files.write_bytes(spark, f"{temp}/function.pkl", cloudpickle.dumps(self.fn))
+        files.rename(spark, temp, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Frozen":
         """What save wrote. The function is unpickled: load only what you trust."""
-        with open(f"{path}/values.json") as f:
-            meta = json.load(f)
-        with open(f"{path}/function.pkl", "rb") as f:
-            fn = cloudpickle.loads(f.read())
+        meta = json.loads(files.read_bytes(spark, f"{path}/values.json"))
+        fn = cloudpickle.loads(files.read_bytes(spark, f"{path}/function.pkl"))
         values: dict[str, Any] = {}
         for key, v in meta["values"].items():
             if "vocabulary" in v:
-                values[key] = Vocabulary(spark.read.parquet(f"{path}/tables/{v['vocabulary']}"), v["size"], v["unfiltered_size"], v["name"], v["store_frequency"])
+                values[key] = Vocabulary(spark.read.parquet(f"{path}/tables/{v['vocabulary']}"), v["size"], v["unfiltered_size"], v["name"], v["store_frequency"], v["file_format"])
             elif "table" in v:
                 values[key] = spark.read.parquet(f"{path}/tables/{v['table']}")
             else:
@@ -109,20 +130,30 @@ class Frozen:
         return Frozen(fn, values, T.StructType.fromJson(meta["schema"]), meta["assets"])
 
 
+def unused(name: str, used: set[str]) -> str:
+    """A name that isn't used yet, and now is."""
+    out, n = name, 1
+    while out in used:
+        out, n = f"{name}_{n}", n + 1
+    used.add(out)
+    return out
+
+
 def _tuples(v: Any) -> Any:
     return tuple(v) if isinstance(v, list) else v
 
 
 def write_vocabulary(v: Vocabulary, path: str) -> None:
-    """One token on each line, in order; 'value token' with frequencies. One file, written by a task, not the driver."""
+    """One token on each line, in order; 'value token' with frequencies. One file, written by a task, not the driver; gzipped if the vocabulary asks for it."""
     from pyspark.sql import functions as F
 
     line = F.concat_ws(" ", F.when(F.col("value") == F.floor("value"), F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string")), "token") if v.store_frequency else F.col("token")
-    v.table.repartition(1).sortWithinPartitions("index").select(line.alias("value")).write.text(path)
+    v.table.repartition(1).sortWithinPartitions("index").select(line.alias("value")).write.option("compression", "gzip" if v.file_format == "text_gzip" else "none").text(path)
 
 
 def analyze(df: DataFrame, fn: Fn) -> Frozen:
-    """Runs the analyzers of a preprocessing function over df."""
+    """Runs the analyzers of a preprocessing function over df, without the columns that a Context passes through."""
+    df = df.drop(*(Context.current().passthrough or ()))
     values, t, out, phases = P.phases(df, fn)
     result = Frozen(fn, values, df.schema)
     result.phases = phases
@@ -130,6 +161,7 @@ def analyze(df: DataFrame, fn: Fn) -> Frozen:
 
 
 def fit_apply(df: DataFrame, fn: Fn, passthrough: Sequence[str] = ()) -> tuple[DataFrame, Frozen]:
+    passthrough = passthrough or Context.current().passthrough or ()
     found = analyze(df.drop(*passthrough), fn)
     return found.apply(df, passthrough), found
 
@@ -159,5 +191,5 @@ def without_analysis(schema: T.StructType, fn: Fn, spark: SparkSession) -> Froze
     return Frozen(fn, {}, schema)
 
 
-def remove(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+def remove(spark: SparkSession, path: str) -> None:
+    files.remove(spark, path)

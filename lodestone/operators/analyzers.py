@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import builtins
 import math
+import uuid
 from collections.abc import Callable, Sequence
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
-from ..plans.tables import written
+from ..plans.tables import shared_dir, written
 from ..plans.trace import PENDING, RowState, TableState, Trace
 
 builtins_max, builtins_min = builtins.max, builtins.min  # this module has its own
@@ -211,27 +213,37 @@ def var(x: Column, elementwise: bool = False, output_dtype: str | None = None, n
     return mean_and_var(x, elementwise, output_dtype, name)[1]
 
 
-def per_key(kind: str, x: Column, key: Column, aggs: Callable[[Column], dict[str, Column]], merge: Callable[[DataFrame], DataFrame], name: str | None = None, extra: Sequence[Column] = (), extra_names: Sequence[str] = ()) -> Any:
-    """A table (key, ...) of aggregates by key."""
+def per_key(kind: str, x: Column, key: Column, aggs: Callable[[Column], dict[str, Column]], merge: Callable[[DataFrame, list[str]], DataFrame], name: str | None = None, elementwise: bool = False) -> Any:
+    """A table (key, ...) of aggregates by key; elementwise each is an array by position, found in one pass."""
     t = Trace.current()
+    elementwise = elementwise and _is_array(t.dtype(x))
+    keys = ["key", "pos"] if elementwise else ["key"]
 
     def accumulate(df: DataFrame) -> DataFrame:
-        flat = exploded(df, [x, key, *extra], ["x", "key", *extra_names]).filter(F.col("key").isNotNull())
-        return flat.groupBy("key").agg(*[a.alias(n) for n, a in aggs(F.col("x")).items()])
+        flat = exploded(df, [x, key], ["x", "key"], elementwise).filter(F.col("key").isNotNull())
+        return flat.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs(F.col("x")).items()])
 
-    return t.request(kind, [x, key, *extra], lambda: TableState(accumulate, lambda parts: written(merge(parts), "per-key")), None, name)
+    def finish(parts: DataFrame) -> DataFrame:
+        merged = merge(parts, keys)
+        if elementwise:  # as many rows for a key as its arrays are long
+            values = [c for c in merged.columns if c not in keys]
+            rows = merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", *values))).alias("z"))
+            merged = rows.select("key", *[F.col("z")[v].alias(v) for v in values])
+        return written(merged, "per-key")
 
+    return t.request(kind, [x, key], lambda: TableState(accumulate, finish), {"elementwise": elementwise}, name)
 
-def min_and_max_per_key(x: Column, key: Column, name: str | None = None) -> Any:
+
+def min_and_max_per_key(x: Column, key: Column, name: str | None = None, elementwise: bool = False) -> Any:
     """Table (key, low, high)."""
-    merge = lambda p: p.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    merge = lambda p, keys: p.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     clean = lambda c: F.when(~F.isnan(c.cast("double")), c)
-    return per_key("min_and_max_per_key", x, key, lambda c: {"low": F.min(clean(c)), "high": F.max(clean(c))}, merge, name)
+    return per_key("min_and_max_per_key", x, key, lambda c: {"low": F.min(clean(c)), "high": F.max(clean(c))}, merge, name, elementwise)
 
 
-def mean_and_var_per_key(x: Column, key: Column, name: str | None = None) -> Any:
+def mean_and_var_per_key(x: Column, key: Column, name: str | None = None, elementwise: bool = False) -> Any:
     """Table (key, n, mean, var)."""
-    return per_key("mean_and_var_per_key", x, key, _moments, lambda p: _merge_moments(p, ["key"]), name)
+    return per_key("mean_and_var_per_key", x, key, _moments, _merge_moments, name, elementwise)
 
 
 def count_per_key(key: Column, name: str | None = None) -> Any:
@@ -587,10 +599,17 @@ def custom(inputs: Sequence[Column], analyze: Callable[[DataFrame], DataFrame],
     """A user's full-pass aggregate: analyze gets a frame of the inputs (c0, c1, ...) and returns one row; a tuple of literals, or a placeholder."""
     t = Trace.current()
     acc = lambda df: analyze(df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]))
-    value = t.request("custom", list(inputs), lambda: TableState(acc, lambda p: tuple(p.first())), None, name, [analyze])
+    code = analyze.func if isinstance(analyze, partial) else analyze
+    value = t.request("custom", list(inputs), lambda: TableState(acc, lambda p: tuple(p.first())), None, name, [code])
     return t.placeholder() if value is PENDING else tuple(literal(v) for v in value)
 
 
+def custom_in_folder(inputs: Sequence[Column], analyze: Callable[[DataFrame, str], DataFrame], name: str | None = None) -> Any:
+    """Like custom, for an aggregate that writes tables on the way: analyze gets a new folder too, which all executors share."""
+    folder = f"{shared_dir(Trace.current().df.sparkSession)}/custom-{uuid.uuid4().hex}"
+    return custom(inputs, partial(analyze, folder=folder), name)
+
+
 class CacheableAnalyzer:
     """A user's mergeable aggregate: make partial rows, merge them, extract values.
 

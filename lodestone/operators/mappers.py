@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.tables import written
-from ..plans.trace import PENDING, TableState, Trace
+from ..plans.trace import PENDING, TableState, Trace, function_id
 from . import analyzers as A
 from .gauss import gaussianized
 from .vocabulary import Vocabulary, vocabulary
@@ -60,21 +60,18 @@ def _keyed(table: Any, key: Column, values: Sequence[str]) -> dict[str, Column]
 
 
 def scale_by_min_max_per_key(x: Column, key: Column, output_min: float = 0.0, output_max: float = 1.0, elementwise: bool = False, name: str | None = None) -> Column:
-    """By the key's extremes; a key that wasn't seen has 0 and 0, so the sigmoid."""
+    """By the key's extremes, or those of key and position; a key that wasn't seen has 0 and 0, so the sigmoid."""
     if output_max <= output_min:
         raise ValueError("output_min must be less than output_max")
-    t = Trace.current()
-    if elementwise:
-        return _elementwise_per_key(x, lambda e, i: scale_by_min_max_per_key(e, key, output_min, output_max, False, name and f"{name}{i}"))
-    got = _keyed(A.min_and_max_per_key(x, key, name), key, ["low", "high"])
+    got = _keyed(A.min_and_max_per_key(x, key, name, elementwise), key, ["low", "high"])
     if got is None:
-        return t.placeholder()
-    low, high = F.coalesce(got["low"].cast("double"), F.lit(0.0)), F.coalesce(got["high"].cast("double"), F.lit(0.0))
-    return _each(x, lambda v: _min_max(v, low, high, output_min, output_max))
+        return Trace.current().placeholder()
+    one = lambda v, low, high: _min_max(v, F.coalesce(low.cast("double"), F.lit(0.0)), F.coalesce(high.cast("double"), F.lit(0.0)), output_min, output_max)
+    return _each(x, one, got["low"], got["high"], elementwise=elementwise)
 
 
-def _elementwise_per_key(x: Column, one: Callable[[Column, int], Column]) -> Column:
-    """A fixed-length array whose positions are scaled apart."""
+def _by_position(x: Column, one: Callable[[Column, int], Column]) -> Column:
+    """A fixed-length array whose positions are treated apart."""
     t = Trace.current()
     if not isinstance(t.dtype(x), T.ArrayType):
         return one(x, 0)
@@ -101,19 +98,19 @@ def scale_to_z_score(x: Column, elementwise: bool = False, output_dtype: str | N
 
 
 def scale_to_z_score_per_key(x: Column, key: Column, elementwise: bool = False, output_dtype: str | None = None, name: str | None = None) -> Column:
-    """By the key's mean and deviation; a key that wasn't seen leaves x as it is."""
-    kind, t = A._stat_type(x, output_dtype), Trace.current()
-    if elementwise:
-        return _elementwise_per_key(x, lambda e, i: scale_to_z_score_per_key(e, key, False, output_dtype, name and f"{name}{i}"))
-    got = _keyed(A.mean_and_var_per_key(x, key, name), key, ["mean", "var"])
+    """By the mean and deviation of the key, or of key and position; a key that wasn't seen leaves x as it is."""
+    kind = A._stat_type(x, output_dtype)
+    got = _keyed(A.mean_and_var_per_key(x, key, name, elementwise), key, ["mean", "var"])
     if got is None:
-        return t.placeholder()
-    mean, var = F.coalesce(got["mean"], F.lit(0.0)), F.coalesce(got["var"], F.lit(0.0))
-    return _each(x, lambda v: _z(v, mean, var, kind))
+        return Trace.current().placeholder()
+    one = lambda v, mean, var: _z(v, F.coalesce(mean, F.lit(0.0)), F.coalesce(var, F.lit(0.0)), kind)
+    return _each(x, one, got["mean"], got["var"], elementwise=elementwise)
 
 
-def scale_to_gaussian(x: Column, output_dtype: str | None = None, name: str | None = None) -> Column:
-    """A column whose tails are pulled in to those of a normal distribution, centred and scaled."""
+def scale_to_gaussian(x: Column, elementwise: bool = False, output_dtype: str | None = None, name: str | None = None) -> Column:
+    """A column whose tails are pulled in to those of a normal distribution, centred and scaled; elementwise each position of an array by itself."""
+    if elementwise:
+        return _by_position(x, lambda e, i: scale_to_gaussian(e, False, output_dtype, name and f"{name}{i}"))
     kind, value = A._stat_type(x, output_dtype), A.tukey_parameters(x, name)
     if value is PENDING:
         return Trace.current().placeholder()
@@ -143,7 +140,8 @@ def bucketize(x: Column, num_buckets: int, epsilon: float | None = None, weights
     bounds = A.quantiles(x, num_buckets, epsilon, weights, elementwise, name)
     t = Trace.current()
     t.annotations.setdefault("buckets", {})[name or f"bucketize_{len(t.annotations.get('buckets', {}))}"] = num_buckets
-    return _each(x, lambda v, b: C.bucket(v, b), bounds, elementwise=elementwise) if elementwise else _each(x, lambda v: C.bucket(v, bounds))
+    out = _each(x, lambda v, b: C.bucket(v, b), bounds, elementwise=elementwise) if elementwise else _each(x, lambda v: C.bucket(v, bounds))
+    return t.note(out, buckets=num_buckets, domain=(0, num_buckets - 1, True))
 
 
 def strictly_increasing(bounds: Column) -> Column:
@@ -161,7 +159,7 @@ def bucketize_per_key(x: Column, key: Column, num_buckets: int, epsilon: float |
         return Trace.current().placeholder()
     bounds = strictly_increasing(got["bounds"])
     one = lambda v: F.when(got["bounds"].isNull(), F.lit(-1)).otherwise(F.least(C.bucket(v, bounds), F.lit(num_buckets - 1))).cast("bigint")
-    return _each(x, one)
+    return Trace.current().note(_each(x, one), buckets=num_buckets, domain=(-1, num_buckets - 1, True))
 
 
 def estimated_probability_density(x: Column, boundaries: int | Sequence[float] | None = None, categorical: bool = False, name: str | None = None) -> Column:
@@ -185,28 +183,32 @@ def estimated_probability_density(x: Column, boundaries: int | Sequence[float] |
 # -- vocabularies and text -----------------------------------------------------
 
 
-def apply_vocabulary(x: Column, vocab: Vocabulary | Any, *, default_value: int = -1, num_oov_buckets: int = 0, lookup_fn: Callable[[Column, DataFrame], Column] | None = None) -> Column:
-    """Index of each token; a token that isn't there has default_value, or one of num_oov_buckets after the last index."""
+def apply_vocabulary(x: Column, vocab: Vocabulary | Any, *, default_value: int = -1, num_oov_buckets: int = 0, lookup_fn: Callable[[Column, DataFrame], Column | tuple[Column, int]] | None = None) -> Column:
+    """Index of each token; a token that isn't there has default_value, or one of num_oov_buckets after the last index.
+
+    lookup_fn, if given, makes the column from x and the table (token, index, value); it may return the size of its range too.
+    """
     t = Trace.current()
     if vocab is PENDING:
         return t.placeholder()
     if lookup_fn is not None:
-        return lookup_fn(x, vocab.table)
+        got = lookup_fn(x, vocab.table)
+        return t.note(got[0], domain=(min(0, default_value), got[1] - 1, True)) if isinstance(got, tuple) else got
     clean = (lambda c: F.replace(c.cast("string"), F.lit(" "), F.lit("__SPACE__"))) if vocab.store_frequency else (lambda c: c.cast("string"))
     missing = (lambda c: F.lit(vocab.size).cast("bigint") + F.pmod(F.xxhash64(clean(c)), F.lit(num_oov_buckets))) if num_oov_buckets else (lambda c: F.lit(default_value).cast("bigint"))
     low, high = (0, vocab.size + num_oov_buckets - 1) if num_oov_buckets else (min(0, default_value), max(vocab.size - 1, default_value))
-    t.annotations.setdefault("domains", []).append((low, high))
+    known = lambda c: t.note(c, domain=(low, high, True))
     kind = t.dtype(x)
     if not isinstance(kind, T.ArrayType):
         got = t.join(clean(x), vocab.table.select("token", "index"), ["index"])
-        return F.when(x.isNotNull(), F.coalesce(got["index"], missing(x)))
+        return known(F.when(x.isNotNull(), F.coalesce(got["index"], missing(x))))
     if isinstance(kind.elementType, T.ArrayType):
         raise ValueError("flatten nested arrays before a vocabulary is applied")
     tokens = F.transform(x, clean) if vocab.store_frequency or not isinstance(kind.elementType, T.StringType) else x
     if not num_oov_buckets:
-        return _lookup_array(tokens, vocab, default_value)
+        return known(_lookup_array(tokens, vocab, default_value))
     found = _lookup_array(tokens, vocab)
-    return F.transform(F.arrays_zip(x.alias("a"), found.alias("b")), lambda p: F.coalesce(p["b"], missing(p["a"])))
+    return known(F.transform(F.arrays_zip(x.alias("a"), found.alias("b")), lambda p: F.coalesce(p["b"], missing(p["a"]))))
 
 
 def _lookup_array(tokens: Column, vocab: Vocabulary, default: int | None = None) -> Column:
@@ -313,12 +315,15 @@ def tfidf(x: Column, vocab_size: int, smooth: bool = True, name: str | None = No
     return z["i"], z["w"]
 
 
-def get_num_buckets_for_transformed_feature(name: str) -> Column:
-    """Buckets of a bucketize call by its name."""
-    found = Trace.current().annotations.get("buckets", {})
-    if name not in found:
-        raise ValueError(f"{name} is not a bucketized feature")
-    return F.lit(found[name]).cast("bigint")
+def num_buckets_of(feature: Column | str) -> Column:
+    """Buckets of a column that a bucketize call returned, or of such a call by its name."""
+    t = Trace.current()
+    found = t.annotations.get("buckets", {}).get(feature) if isinstance(feature, str) else t.fact(feature, "buckets")
+    if found is None and not isinstance(feature, str) and t.pending:
+        return t.placeholder()
+    if found is None:
+        raise ValueError(f"{feature} is not a bucketized feature")
+    return F.lit(found).cast("bigint")
 
 
 def get_vocabulary_size_by_name(name: str) -> Column:
@@ -337,14 +342,43 @@ def apply_pyfunc(fn: Callable[..., pd.Series], return_type: str, *args: Column)
     return F.pandas_udf(fn, return_type)(*args)
 
 
-def apply_model(load: Callable[[], Any], predict: Callable[..., Any], return_type: str, *args: Column) -> Column:
-    """A frozen model: loaded once in each Python worker, predict(model, *series) on each batch."""
-    holder: dict[str, Any] = {}
+class Tracked:
+    """An object that is made once in each process that uses it, whatever it is made of; pickled as how it is made."""
+
+    _made: dict[str, Any] = {}
+
+    def __init__(self, make: Callable[[], Any], name: str | None = None):
+        self.make, self.name = make, name or function_id(make)
+
+    def get(self) -> Any:
+        if self.name not in Tracked._made:
+            Tracked._made[self.name] = self.make()
+        return Tracked._made[self.name]
+
+
+def make_and_track(make: Callable[[], Any], name: str | None = None) -> Tracked:
+    """An object for user functions, such as a table or a model: made on first use, kept for the next phase or batch."""
+    return Tracked(make, name)
+
+
+def apply_model(load: Callable[[], Any] | Tracked, predict: Callable[..., Any], return_type: str, *args: Column) -> Column:
+    """A frozen model: loaded once in each Python worker, predict(model, *series) on each batch of any number of columns."""
+    held = load if isinstance(load, Tracked) else Tracked(load)
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(predict(held.get(), *[rows[c] for c in rows.columns]))
+
+    run.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(run, return_type)(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(args)]))
+
+
+def annotate_asset(name: str, path: str) -> None:
+    """A file that belongs to the frozen function: save() copies it, and asset() of the loaded one tells where it is."""
+    t = Trace.current()
+    if t.annotations.setdefault("assets", {}).setdefault(name, path) != path:
+        raise ValueError(f"there are two assets named {name}")
 
-    def run(*series: pd.Series) -> pd.Series:
-        if "model" not in holder:
-            holder["model"] = load()
-        return pd.Series(predict(holder["model"], *series))
 
-    annotated = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[len(args)]
-    return F.pandas_udf(annotated, return_type, F.PandasUDFType.SCALAR)(*args)
+def annotate_shape(c: Column, shape: Sequence[int]) -> Column:
+    """A column whose output has a fixed shape, kept in the output's metadata."""
+    return Trace.current().note(c, shape=list(shape))

@@ -33,6 +33,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _at(spark, source)
+    to, q = _at(spark, target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, q, False, spark._jsc.hadoopConfiguration())
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     fs, p = _at(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -121,6 +121,7 @@ class Trace:
     inputs_used: list[Column] = field(default_factory=list)
     aliases: dict[str, str] = field(default_factory=dict)
     types: dict[int, tuple] = field(default_factory=dict)
+    facts: dict[int, tuple] = field(default_factory=dict)
 
     @staticmethod
     def current() -> "Trace":
@@ -146,6 +147,14 @@ class Trace:
         self.types[id(c)] = (c, kind)
         return kind
 
+    def note(self, c: Column, **facts: Any) -> Column:
+        """Remembers something about a column that the function may return as it is, such as its domain."""
+        self.facts[id(c)] = (c, self.facts.get(id(c), (c, {}))[1] | facts)
+        return c
+
+    def fact(self, c: Column, name: str) -> Any:
+        return self.facts.get(id(c), (c, {}))[1].get(name)
+
     def ready(self, columns: Sequence[Column]) -> bool:
         return all(self.dtype(c) is not None for c in columns)
 
@@ -244,4 +253,15 @@ def phases(df: DataFrame, fn: Callable, solve: Callable[[DataFrame, Sequence[Cal
 def apply(df: DataFrame, t: Trace, out: dict[str, Column], passthrough: Sequence[str] = ()) -> DataFrame:
     """The outputs over df: joins with lookup tables, then one projection."""
     df = joined(df, t.lookups)
-    return df.select(*[F.col(f"`{p}`") for p in passthrough], *[c.alias(n) for n, c in out.items()])
+    return df.select(*[F.col(f"`{p}`") for p in passthrough], *[described(t, c, n) for n, c in out.items()])
+
+
+def described(t: Trace, c: Column, name: str) -> Column:
+    """The column under its name, with what is known of it in the metadata."""
+    domain, shape = t.fact(c, "domain"), t.fact(c, "shape")
+    meta: dict[str, Any] = {}
+    if domain is not None:
+        meta["domain"] = {"min": domain[0], "max": domain[1], "is_categorical": domain[2]}
+    if shape is not None:
+        meta["shape"] = list(shape)
+    return c.alias(name, metadata=meta) if meta else c.alias(name)

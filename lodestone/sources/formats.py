@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import struct
 from collections.abc import Iterable, Sequence
 
@@ -27,16 +25,8 @@ def encode_csv(df: DataFrame, columns: Sequence[str] | None = None, delimiter: s
     names = list(columns or df.columns)
     plain = [F.array_join(F.col(n).cast("array<string>"), secondary_delimiter) if isinstance(df.schema[n].dataType, T.ArrayType) else F.col(n).cast("string") for n in names]
 
-    @F.pandas_udf("string")
-    def line(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in rows.itertuples(index=False):
-            s = io.StringIO()
-            csv.writer(s, delimiter=delimiter, lineterminator="").writerow(["" if v is None else v for v in r])
-            out.append(s.getvalue())
-        return pd.Series(out)
-
-    return df.select(line(F.struct(*[p.alias(n) for p, n in zip(plain, names)])).alias("value"))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return df.select(F.to_csv(F.struct(*[p.alias(n) for p, n in zip(plain, names)]), options).alias("value"))
 
 
 def _varint(n: int) -> bytes:

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, least_labels
-from .storage import written
+from .storage import by_key, by_number, written
 
 BITS = 62
+#: Vectors in a block of a cluster whose links are counted.
+BLOCK = 2048
 #: Rows of the sample, about, signatures that measure the table, and partners drawn for each row of the sample.
 SAMPLE, PILOTS, PARTNERS = 256, 4, 8
 
@@ -63,8 +65,10 @@ def passes_for(hit: np.ndarray, recall: float) -> int:
 
 
 def unit(part: pd.DataFrame) -> np.ndarray:
-    x = np.stack(part["v"].to_numpy()).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Vectors of length 1, whatever the size of their entries."""
+    x = np.stack(part["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
 def table_means(usable: DataFrame) -> dict[int, np.ndarray]:
@@ -152,18 +156,25 @@ def near_duplicates(
     seed: int = 11,
     passes: int | None = None,
 ) -> DataFrame:
-    """(vec_id, cluster_id, keep) for every row.
+    """(vec_id, cluster_id, keep, links) for every row.
 
     cluster_id is the least id that a row is united with, directly or through
-    others; keep marks the rows where it is their own. Rows with a null id, a
-    null, empty or zero vector, or one with nulls, NaN or infinities are united
-    with none; neither are vectors of different dimensions. A null id has a
-    null cluster and is kept. Rows that repeat an id stay and share its cluster.
-    Extra columns are ignored. An empty table gives an empty result.
+    others; keep marks the rows where it is their own. links is the number of
+    different vectors of the cluster that are similar to this one: rows with
+    equal vectors are copies, one class in the passes, and count as one. It is
+    counted over the whole cluster in blocks, not only within windows. Rows
+    with a null id, a null, empty or zero vector, or one with nulls, NaN or
+    infinities are united with none; neither are vectors of different
+    dimensions. A null id has a null cluster and is kept. Rows that repeat an id
+    stay and share its cluster; links of their different vectors are added up.
+    Ids may be of any type that can be ordered. Extra columns are ignored. An
+    empty table gives an empty result.
     """
-    src = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    src, keys = by_number(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")), "id")
     good = F.col("id").isNotNull() & (F.size("v") > 0) & F.coalesce(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)) & F.exists("v", lambda e: e != 0)
-    usable = src.filter(good)
+    hashed = src.filter(good).withColumn("vh", F.xxhash64("v"))
+    usable = written(hashed.groupBy("vh").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v")), "vectors")
+    copies = written(hashed.select("vh", "id").distinct().join(usable.select("vh", F.col("id").alias("rep")), "vh").select("id", "rep"), "vector-copies")
     sizes = [(r[0], r[1]) for r in usable.groupBy(F.size("v")).count().collect()]  # one row for each dimension
     most = max([n for _, n in sizes], default=0)
     means = table_means(usable)
@@ -241,8 +252,65 @@ def near_duplicates(
         return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
     straddling = found.filter("kind > 0").groupBy("dim", "pass").applyInPandas(borders, "a bigint, b bigint")
-    roots = components(found.filter("kind = 0").select("a", "b").union(straddling))
+    # a row that repeats an id with another vector unites the two
+    roots = components(found.filter("kind = 0").select("a", "b").union(straddling).union(copies.select("id", "rep")))
+    links = _links(usable.select("id", "v").join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("root"), "id", "v"), threshold)
+    linked = written(copies.join(links.select(F.col("id").alias("rep"), "links"), "rep").groupBy("id").agg(F.sum("links").alias("links")), "vector-links")
     cluster = F.coalesce(F.col("root"), F.col("id"))
-    return src.join(roots, src["id"] == roots["node"], "left").select(
-        F.col("id").alias("vec_id"), cluster.alias("cluster_id"), F.coalesce(cluster == F.col("id"), F.lit(True)).alias("keep")
+    out = (
+        src.select("id")
+        .join(roots, F.col("id") == F.col("node"), "left")
+        .join(linked.withColumnRenamed("id", "linked"), F.col("id") == F.col("linked"), "left")
+        .select(F.col("id").alias("vec_id"), cluster.alias("cluster_id"), F.coalesce(cluster == F.col("id"), F.lit(True)).alias("keep"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     )
+    return by_key(out, ["vec_id", "cluster_id"], keys)
+
+
+def _links(members: DataFrame, threshold: float) -> DataFrame:
+    """(id, links): for the vectors (root, id, v) of each cluster the number of others of it that are similar.
+
+    A large cluster is cut into blocks of about BLOCK vectors; each pair of blocks is
+    one step of a task, and counts, not pairs, come out.
+    """
+    members = written(members, "cluster-vectors")
+    blocks = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("r"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, F.col("root") == F.col("r")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def solve(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            ids, out = [], []
+            step = pdf[["root", "i", "j"]].to_numpy()
+            start = np.nonzero(np.r_[True, (step[1:] != step[:-1]).any(axis=1)])[0]
+            own = pdf["own"].to_numpy()
+            for a, b in zip(start.tolist(), np.r_[start[1:], len(pdf)].tolist()):
+                part = pdf.iloc[a:b]
+                i, j = step[a, 1], step[a, 2]
+                for _, rows in part.groupby(part["v"].map(len)):
+                    x, at = unit(rows), own[rows.index]
+                    left = at == i
+                    if i == j:
+                        hit = (x @ x.T >= threshold).sum(axis=1) - 1
+                        ids.append(rows["id"].to_numpy())
+                        out.append(hit)
+                    else:
+                        near = x[left] @ x[~left].T >= threshold
+                        ids += [rows["id"].to_numpy()[left], rows["id"].to_numpy()[~left]]
+                        out += [near.sum(axis=1), near.sum(axis=0)]
+            yield pd.DataFrame({"id": np.concatenate(ids), "n": np.concatenate(out).astype(np.int64)})
+
+        for pdf in frames:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = held[["root", "i", "j"]].iloc[-1].to_numpy()
+            open_ = (held[["root", "i", "j"]].to_numpy() == last).all(axis=1)
+            if not open_.all():
+                yield from solve(held[~open_].reset_index(drop=True))
+                held = held[open_].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from solve(held)
+
+    ordered = paired.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = ordered.mapInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("links"))
+    return found

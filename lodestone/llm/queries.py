@@ -91,13 +91,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, group_id, coalesce(links, 0) AS links FROM m JOIN often USING (root) LEFT JOIN links ON x = rep""",
         # every pair compared; components by recursion over the pairs found
         "op1_embedding_neardup": """
-            WITH RECURSIVE pair AS (
-                SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b
-                ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.95
-            ), reach(x, y) AS (
-                SELECT x, y FROM pair UNION SELECT r.x, p.y FROM reach r JOIN pair p ON r.y = p.x
-            ), least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
-            SELECT e.vec_id, coalesce(least(e.vec_id, l.y), e.vec_id) AS cluster_id,
-                   coalesce(least(e.vec_id, l.y), e.vec_id) = e.vec_id AS keep
-            FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x""",
+            WITH RECURSIVE c AS (SELECT embedding AS e, min(vec_id) AS rep FROM embeddings GROUP BY 1),
+            near AS (SELECT a.rep AS x, b.rep AS y FROM c a JOIN c b ON a.rep <> b.rep AND list_cosine_similarity(a.e, b.e) >= 0.95),
+            reach(x, y) AS (SELECT x, y FROM near UNION SELECT r.x, p.y FROM reach r JOIN near p ON r.y = p.x),
+            least AS (SELECT x, min(y) AS y FROM reach GROUP BY x), links AS (SELECT x, count(*) AS links FROM near GROUP BY x)
+            SELECT e.vec_id, coalesce(least(c.rep, l.y), c.rep) AS cluster_id, coalesce(least(c.rep, l.y), c.rep) = e.vec_id AS keep, coalesce(n.links, 0) AS links
+            FROM embeddings e JOIN c ON c.e = e.embedding LEFT JOIN least l ON c.rep = l.x LEFT JOIN links n ON n.x = c.rep""",
     }

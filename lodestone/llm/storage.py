@@ -64,3 +64,29 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch for operators that hand texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def by_number(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
+    """df with a bigint in place of a key column, in the key's order, and the table (number, key) to get back by.
+
+    Whole numbers stand for themselves, without a table; other keys are sorted
+    in range partitions and numbered by place. A null key stays null.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(column, F.col(column).cast("bigint")), None
+    keys = df.select(F.col(column).alias("__key")).filter("__key IS NOT NULL").distinct()
+    keys = written(keys.repartitionByRange("__key").sortWithinPartitions("__key").select(F.monotonically_increasing_id().alias("__number"), "__key"), "numbers")
+    numbered = df.join(small_side(keys), df[column] == F.col("__key"), "left")
+    return numbered.select(*[F.col("__number").alias(c) if c == column else df[c] for c in df.columns]), keys
+
+
+def by_key(df: DataFrame, columns: list[str], keys: DataFrame | None) -> DataFrame:
+    """The keys again in the columns given, which hold numbers of by_number."""
+    if keys is None:
+        return df
+    names = df.columns
+    for c in columns:
+        side = small_side(keys.withColumnsRenamed({"__number": f"__number_{c}", "__key": f"__key_{c}"}))
+        df = df.join(side, F.col(c) == F.col(f"__number_{c}"), "left").drop(c, f"__number_{c}").withColumnRenamed(f"__key_{c}", c)
+    return df.select(*names)

@@ -51,6 +51,9 @@ def test_vectors(spark):
     got = neardup.near_duplicates(vectors(spark, [(i, v, 0, "", "", "") for i, v in data])).collect()
     assert len(got) == len(data)
     assert {(r.vec_id, r.cluster_id) for r in got} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (None, None), (8, 8), (9, 9)}
+    assert all(r.links == {1: 1, 2: 2}.get(r.vec_id, 0) for r in got)
+    named = vectors(spark, [(1, ok, 0, "", "", ""), (2, ok, 0, "", "", ""), (3, [1e30, 2e30, 3e30], 0, "", "", ""), (4, [3.0, -1.0, 0.0], 0, "", "", "")]).withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
+    assert {(r.vec_id, r.cluster_id, r.links) for r in neardup.near_duplicates(named).collect()} == {("v1", "v1", 1), ("v2", "v1", 1), ("v3", "v1", 1), ("v4", "v4", 0)}
     assert all(r.keep for r in got if r.vec_id != 2) and not any(r.keep for r in got if r.vec_id == 2)
     assert neardup.near_duplicates(vectors(spark, [])).count() == 0
 

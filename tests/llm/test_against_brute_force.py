@@ -109,13 +109,14 @@ def bm25(texts, query, k):
     return [(i, -s) for s, i in sorted(out)[:k]]
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = random.Random(5)
     texts = [prose(rng, rng.randrange(1, 60)) for _ in range(300)]
     texts += texts[:20]
     asked = [prose(rng, 6) for _ in range(15)]
     ask = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
-    for chunk in (2000, 4):
+    for chunk, most in ((2000, 10**6), (4, 10**6), (4, 0)):
+        monkeypatch.setattr(topk, "MOST_TERMS", most)  # 0: all terms are indexed
         got = topk.top_k(table(spark, texts), ask, k=7, block=16, chunk=chunk).collect()
         for q, text in enumerate(asked):
             mine = sorted((r for r in got if r.item_id == q), key=lambda r: r["rank"])

@@ -63,6 +63,8 @@ def test_top_k(spark, docs, empty):
     got = topk.top_k(docs, ask, k=3).collect()
     assert {r.item_id for r in got} == {1, 4}
     assert [r.doc_id for r in sorted((r for r in got if r.item_id == 4), key=lambda r: r["rank"])] == [35, 35]
+    named = topk.top_k(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), ask.withColumn("item_id", F.concat(F.lit("i"), "item_id")), k=3).collect()
+    assert {r.item_id for r in named} == {"i1", "i4"} and {r.doc_id for r in named if r.item_id == "i4"} == {"d35"}
     assert topk.top_k(empty, ask).count() == 0 and topk.top_k(docs, ask.limit(0)).count() == 0
 
 

@@ -1,5 +1,10 @@
 """Removal of repeated passages of whole lines.
 
+Chunks between boundaries that rolling hashes choose were tried first: a
+passage of two to four lines then seldom is a chunk of its own, as a boundary
+falls by chance, and its first and last lines are glued to unlike neighbours.
+So each line is a possible boundary here.
+
 A passage is at least two lines with RUN_WORDS words, or one line with
 LONG_WORDS. From each line the shortest passage that starts there and the
 shortest one that ends there are hashed; any longer passage is covered by the
@@ -12,19 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import small_side, written
 
 #: A line of so many words may go alone.
 LONG_WORDS = 40
 #: Words that a passage of several lines must have to go.
 RUN_WORDS = 25
-#: Candidate documents whose lists a broadcast may hold; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: Characters of passages that a Python worker gathers before it hands them on.
 BATCH_CHARS = 4 << 20
 
@@ -82,45 +86,57 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of candidate passages: rows (id, th, text, [(h, first, end)])."""
+    """The bytes of candidate passages, from rows (id, th, text, [(h, first, end)]): each once for a batch, with all its places there."""
     for batch in batches:
-        row, h, first, end, data, size = [], [], [], [], [], 0
-
-        def out():
-            at = pa.array(row, pa.int32())
+        ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        held: dict[tuple[int, str], list[tuple]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            places = [sorted(p) for p in held.values()]
+            at = pa.array(np.cumsum([0] + [len(p) for p in places]), pa.int32())
+            flat = [x for p in places for x in p]
+            row = pa.array([x[4] for x in flat], pa.int32())
+            lists = [batch.column(0).take(row), batch.column(1).take(row), pa.array([x[3] for x in flat], pa.int32()), pa.array([x[5] for x in flat], pa.int32())]
+            first = pa.array([p[0][4] for p in places], pa.int32())
+            h, data = zip(*held)
             return pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(data, pa.string())],
-                ["h", "id", "th", "first", "end", "data"],
+                [pa.array(h, pa.int64()), batch.column(0).take(first), batch.column(1).take(first), pa.array([p[0][3] for p in places], pa.int32()), pa.array(data, pa.string()), *[pa.ListArray.from_arrays(at, x) for x in lists]],
+                ["h", "id", "th", "first", "data", "ids", "ths", "firsts", "ends"],
             )
 
         for r, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             lines = text.split("\n")
             for w in wanted:
-                row.append(r)
-                h.append(w["h"])
-                first.append(w["first"])
-                end.append(w["end"])
-                data.append("\n".join(lines[w["first"] : w["end"]]))
-                size += len(data[-1])
-                if size > BATCH_CHARS:
-                    yield out()
-                    row, h, first, end, data, size = [], [], [], [], [], 0
-        yield out()
+                key = w["h"], "\n".join(lines[w["first"] : w["end"]])
+                if key not in held:
+                    size += len(key[1])
+                # sorted by place, a null doc_id last
+                held.setdefault(key, []).append((ids[r] is None, ids[r] if ids[r] is not None else 0, ths[r], w["first"], r, w["end"]))
+            if size > BATCH_CHARS:
+                yield out()
+                held, size = {}, 0
+        if held:
+            yield out()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages whose bytes came before, not overlapping the first occurrence: rows sorted by hash, then by place."""
+    """Places of passages whose bytes came before, not overlapping the first occurrence: rows sorted by hash, then by their first place."""
     now, seen = None, {}
     for batch in batches:
-        out = []
-        for k, (h, i, th, first, end, data) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+        lists = batch.columns[5:]
+        flat = [c.flatten() for c in lists]
+        ids, ths, firsts, ends = (c.to_pylist() for c in flat)
+        size = lists[0].value_lengths().to_pylist()
+        out, at = [], 0
+        for h, data, n in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), size):
             if h != now:
                 now, seen = h, {}
-            at = seen.setdefault(data, (i, th, end))
-            if at[:2] != (i, th) or first >= at[2]:
-                out.append(k)
-        at = pa.array(out, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (1, 2, 3, 4)], ["id", "th", "first", "end"])
+            i, th, end = seen.setdefault(data, (ids[at], ths[at], ends[at]))
+            out += [k for k in range(at, at + n) if ids[k] != i or ths[k] != th or firsts[k] >= end]
+            at += n
+        take = pa.array(out, pa.int32())
+        yield pa.RecordBatch.from_arrays([c.take(take) for c in flat], ["id", "th", "first", "end"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +159,6 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(removed, pa.int32()), *batch.columns[2:]], ["text", "removed_lines", *batch.schema.names[2:]])
 
 
-def _small(side: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side.hint("shuffle_hash")
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(id, th, passages): for each text, named by doc_id and hash, the passages to remove."""
     own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text").filter("text <> ''")
@@ -156,9 +168,10 @@ def removals(docs: DataFrame) -> DataFrame:
     again = cut.join(often, "h")
     lists = written(again.groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_set(F.struct("h", "first", "end")).alias("wanted")), "line-wanted")
     match = F.col("th").eqNullSafe(F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))
-    there = own.join(_small(lists, lists.count()), match).select("id", "th", "text", "wanted")
+    there = own.join(small_side(lists), match).select("id", "th", "text", "wanted")
     # rows that agree in doc_id and text give the same places twice; _repeats takes them for one
-    data = there.mapInArrow(_bytes, f"h bigint, id {kind}, th bigint, first int, end int, data string")
+    # a passage that a third of all documents have comes once for each batch
+    data = there.mapInArrow(_bytes, f"h bigint, id {kind}, th bigint, first int, data string, ids array<{kind}>, ths array<bigint>, firsts array<int>, ends array<int>")
     repeats = data.repartition("h").sortWithinPartitions("h", F.col("id").asc_nulls_last(), "th", "first").mapInArrow(_repeats, f"id {kind}, th bigint, first int, end int")
     return written(repeats.groupBy("id", "th").agg(F.collect_set(F.struct("first", "end")).alias("passages")), "line-removals")
 
@@ -170,14 +183,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     so does one that overlaps it in the same text. Rows
     that agree in doc_id and text are one place: each keeps what the other
     keeps. A null text stays null and an empty one empty, with 0 removed lines.
-    All other columns are carried along; if there is one named removed_lines,
-    it is replaced. An empty table gives an empty result.
+    All other columns are carried along, whatever their names; if there is one
+    named removed_lines, it is replaced. An empty table gives an empty result.
     """
     gone = removals(docs)
     names = [c for c in docs.columns if c not in ("text", "removed_lines")]
-    renamed = gone.select(F.col("id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("passages").alias("__r_passages"))
-    own = docs.withColumn("__th", F.xxhash64("text"))
-    joined = own.join(_small(renamed, renamed.count()), F.col("__th").eqNullSafe(F.col("__r_th")) & own["doc_id"].eqNullSafe(F.col("__r_id")), "left")
-    rest = [docs.schema[c] for c in names]
-    schema = "text string, removed_lines int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return joined.select("text", "__r_passages", *names).mapInArrow(_rebuild, schema).select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    # other columns go along in one, whatever their names
+    own = docs.select(F.xxhash64("text").alias("th"), F.col("doc_id").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"))
+    side = small_side(gone.toDF("r_id", "r_th", "passages"))
+    joined = own.join(side, F.col("th").eqNullSafe(F.col("r_th")) & F.col("id").eqNullSafe(F.col("r_id")), "left").select("text", "passages", "rest")
+    out = joined.mapInArrow(_rebuild, T.StructType([T.StructField("text", T.StringType()), T.StructField("removed_lines", T.IntegerType()), joined.schema["rest"]]))
+    return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c != "removed_lines"], "removed_lines")

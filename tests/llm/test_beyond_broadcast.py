@@ -4,11 +4,11 @@ from test_against_brute_force import test_licenses as license_case
 from test_against_brute_force import test_line_dedup as line_case
 from test_against_brute_force import test_ngram_join as join_case
 
-from lodestone.llm import licenses, line_dedup, storage
+from lodestone.llm import licenses, storage
 
 
 def test_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
     line_case(spark)
 
 

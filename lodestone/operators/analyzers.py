@@ -416,11 +416,21 @@ def quantiles(x: Column, num_buckets: int, epsilon: float | None = None, weights
 
 
 def per_group_quantiles(values: DataFrame, keys: Sequence[str], num_buckets: int) -> DataFrame:
-    """(keys..., bounds) from distinct values by group."""
-    whole, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = values.withColumn("below_w", F.coalesce(F.sum("w").over(up), F.lit(0.0))).withColumn("total", F.sum("w").over(whole))
+    """(keys..., bounds) from distinct values by group.
+
+    Groups are range-partitioned together with their values, so that a large one
+    takes several tasks; the weights of a group's parts, one row each, give the
+    offsets.
+    """
+    parts = written(values.repartitionByRange(*keys, "v").select(*keys, "v", "w", F.spark_partition_id().alias("part")), "group-values")
+    whole, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "part").agg(F.sum("w").alias("part_w"))
+    sums = sums.select(*keys, "part", F.coalesce(F.sum("part_w").over(up), F.lit(0.0)).alias("off"), F.sum("part_w").over(whole).alias("total"))
+    before = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("below", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    rows = own.join(sums, [*keys, "part"]).withColumn("upto", F.col("below") + F.col("off") + F.col("w"))
     cuts = [
-        F.coalesce(F.min(F.when(F.col("below_w") + F.col("w") > F.col("total") * k / num_buckets + F.col("total") * 1e-12, F.col("v"))), F.max("v")).cast("float").cast("double")
+        F.coalesce(F.min(F.when(F.col("upto") > F.col("total") * k / num_buckets + F.col("total") * 1e-12, F.col("v"))), F.max("v")).cast("float").cast("double")
         for k in range(1, num_buckets)
     ]
     return rows.groupBy(*keys).agg((F.array(*cuts) if cuts else F.array().cast("array<double>")).alias("bounds"))

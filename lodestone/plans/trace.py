@@ -138,6 +138,9 @@ class Trace:
         """The type of a column, or None if it depends on an unknown result; each column object is resolved once."""
         if id(c) in self.types:
             return self.types[id(c)][1]
+        if "__pending_" in str(c):
+            self.types[id(c)] = (c, None)
+            return None
         try:
             kind = self.df.select(c).schema[0].dataType
         except AnalysisException as e:

@@ -445,6 +445,45 @@ def text_arrays(spark, sf_dir):
     return _run(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), fn, ("conv_id", "turn"))
 
 
+@query(r"""
+    WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[^ \n]+') AS ts FROM conversations),
+    e AS (SELECT conv_id, turn, unnest(list_transform(ts, lambda t: length(t) % 3)) AS id, generate_subscripts(ts, 1) AS pos FROM w),
+    g AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, id ORDER BY pos) AS run FROM e),
+    p AS (SELECT conv_id, turn, pos, row_number() OVER (PARTITION BY conv_id, turn, id, run ORDER BY pos) - 1 AS place FROM g),
+    s AS (SELECT conv_id, turn, string_agg(place::VARCHAR, ',' ORDER BY pos) AS places FROM p GROUP BY 1, 2)
+    SELECT w.conv_id, w.turn, coalesce(places, '') AS places,
+           array_to_string(list_sort(list_distinct(list_concat(ts, list_transform(range(1, greatest(len(ts), 1)), lambda i: ts[i] || ' ' || ts[i + 1])))), '|') AS bag,
+           array_to_string(list_filter(ts, lambda t: length(t) > 3), '|') AS long_words FROM w LEFT JOIN s USING (conv_id, turn)""")
+def text_segments(spark, sf_dir):
+    def fn(x):
+        ts = _tokens(x["text"])
+        gaps = F.transform(ts, lambda t: F.when(F.length(t) > 3, t))
+        return {
+            "places": F.array_join(C.segment_indices(F.transform(ts, lambda t: F.length(t) % 3)).cast("array<string>"), ","),
+            "bag": F.array_join(F.array_sort(C.bag_of_words(ts, (1, 2))), "|"), "long_words": F.array_join(C.left_align(gaps), "|"),
+        }
+
+    return _run(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), fn, ("conv_id", "turn"))
+
+
+# -- user functions ----------------------------------------------------------------
+
+
+@query("SELECT max(value) AS high, min(value) AS low, round(sum(value), 2) AS total, round(sum(value + 1), 2) AS plus, round(sum(value * 100), 0) AS times FROM events")
+def custom_analyzers(spark, sf_dir):
+    """User aggregates and Python functions that differ in their code alone."""
+    total = A.CacheableAnalyzer(lambda df: df.agg(F.sum("c0").alias("p")), lambda p: p.agg(F.sum("p")), lambda r: [r[0]])
+
+    def fn(x):
+        v = x["value"]
+        own = {"high": A.custom([v], lambda df: df.agg(F.max("c0"))), "low": A.custom([v], lambda df: df.agg(F.min("c0"))), "total": total(v)}
+        own = {k: c[0] if isinstance(c, tuple) else c for k, c in own.items()}
+        plus, times = A.sum(M.apply_pyfunc(lambda s: s + 1, "double", v)), A.sum(M.apply_pyfunc(lambda s: s * 100, "double", v))
+        return own | {"total": _r(own["total"], 2), "plus": _r(plus, 2), "times": _r(times, 0)}
+
+    return _one_row(_t(spark, sf_dir, "events").select("value"), fn)
+
+
 # -- the example of the engine as a whole -----------------------------------------------
 
 
@@ -477,11 +516,36 @@ def cached_spans(spark, sf_dir):
     df = _t(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")
     half = F.dayofmonth("ts") <= 15
     inputs = {"first half": df.filter(half).select("value"), "second half": df.filter(~half).select("value")}
-    cache = AnalysisCache(spark, f"{shared_dir(spark).removeprefix('file://')}/cache-{uuid.uuid4().hex}")
+    cache = AnalysisCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
     found = analyze_with_cache(inputs, lambda x: {"z": _r(M.scale_to_z_score(x["value"]), 4)}, cache)
     return found.apply(df.drop("ts"), ("event_id", "event_type"))
 
 
+@query("""
+    WITH s AS (SELECT event_type AS k, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
+    u AS (SELECT event_id, event_type, ((value::FLOAT - lo::FLOAT)::DOUBLE / (hi::FLOAT - lo::FLOAT)::DOUBLE)::FLOAT::DOUBLE AS u FROM events JOIN s ON k = event_type)
+    SELECT event_id, event_type, round(u - (SELECT avg(u) FROM u), 3) + 0.0 AS centred FROM u""")
+def cached_spans_per_key(spark, sf_dir):
+    """A span is added later: what hangs on the tables by key of the first one is not taken from the cache."""
+    from .api import analyze_with_cache
+    from .plans.cache import AnalysisCache
+    from .plans.tables import shared_dir
+    import uuid
+
+    df = _t(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")
+    half = F.dayofmonth("ts") <= 15
+    inputs = {"first half": df.filter(half).select("event_type", "value"), "second half": df.filter(~half).select("event_type", "value")}
+    cache = AnalysisCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
+
+    def fn(x):
+        unit = M.scale_to_0_1_per_key(x["value"], x["event_type"]).cast("double")
+        return {"event_type": x["event_type"], "centred": _r(unit - A.mean(unit), 3)}
+
+    analyze_with_cache({"first half": inputs["first half"]}, fn, cache)
+    found = analyze_with_cache(inputs, fn, cache)
+    return found.apply(df.drop("ts"), ("event_id",))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

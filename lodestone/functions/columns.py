@@ -81,9 +81,14 @@ def segment_indices(segments: Column) -> Column:
     """For an array of segment ids, the 0-based place of each element in its run."""
 
     def places(v: Column) -> Column:
-        n = F.size(v)
-        first = lambda i: F.array_max(F.filter(F.sequence(F.lit(1), i), lambda j: (j == 1) | (F.get(v, j - 1) != F.get(v, j - 2))))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: (i - first(i)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        # (last value, its place, places so far), element by element
+        start = F.struct(F.get(v, F.lit(0)).alias("last"), F.lit(-1).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(s: Column, e: Column) -> Column:
+            at = F.when((F.size(s["out"]) > 0) & (s["last"] != e), F.lit(0).cast("bigint")).otherwise(s["at"] + 1)
+            return F.struct(e.alias("last"), at.alias("at"), F.array_append(s["out"], at).alias("out"))
+
+        return F.when(F.size(v) > 0, F.aggregate(v, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<bigint>"))
 
     return let(segments, places)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
@@ -59,21 +59,36 @@ def example_bytes(features: dict[str, Iterable]) -> bytes:
     return _message(1, body)
 
 
+def flat_features(df: DataFrame) -> DataFrame:
+    """Nested lists as flat ones: name holds the values, and name$row_lengths_k the lengths of the lists at depth k.
+
+    Sparse features are index and value columns already, and stay as they are.
+    """
+    out = []
+    for f in df.schema:
+        c, t, k = F.col(f"`{f.name}`"), f.dataType, 1
+        while isinstance(t, T.ArrayType) and isinstance(t.elementType, T.ArrayType):
+            out.append(F.transform(c, lambda row: F.size(row).cast("bigint")).alias(f"{f.name}$row_lengths_{k}"))
+            c, t, k = F.flatten(c), t.elementType, k + 1
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def encode_examples(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """One binary column of records; scalars are lists of one, a null is an empty list."""
-    names = [c for c in df.columns if c not in exclude]
+    """One binary column of records; scalars are lists of one, a null is an empty list, nested lists are flat with their row lengths."""
+    df = flat_features(df.drop(*exclude))
+    names = df.columns
     real = {n for n in names if df.schema[n].dataType.simpleString().removeprefix("array<").rstrip(">") in ("float", "double")}
 
-    @F.pandas_udf("binary")
-    def encode(rows: pd.DataFrame) -> pd.Series:
+    def encode(rows: pa.Array) -> pa.Array:
+        columns = [rows.field(k).to_pylist() for k in range(len(names))]
         out = []
-        for r in rows.itertuples(index=False):
+        for r in zip(*columns):
             features = {}
             for n, v in zip(names, r):
-                items = [] if v is None or v is pd.NaT else list(v) if not isinstance(v, (str, bytes)) and hasattr(v, "__iter__") else [v]
-                items = [i for i in items if i is not None]
+                items = [i for i in (v if isinstance(v, list) else [v]) if i is not None]
                 features[n] = [float(i) for i in items] if n in real else [i if isinstance(i, (str, bytes)) else int(i) for i in items]
             out.append(example_bytes(features))
-        return pd.Series(out)
+        return pa.array(out, pa.binary())
 
-    return df.select(encode(F.struct(*names)).alias("value"))
+    return df.select(F.arrow_udf(encode, "binary")(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])).alias("value"))

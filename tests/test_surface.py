@@ -122,9 +122,17 @@ def test_csv_lines(spark):
     assert [r.value for r in formats.encode_csv(df).collect()] == ['" a ""q"" ",1,1|2', '"x,y",,', '"two\nlines",3,', ",4,5"]
 
 
+def test_nested_records(spark):
+    df = spark.createDataFrame([([[1, 2], [], [3]], "a", [0.5])], "r array<array<bigint>>, s string, `v.w` array<float>")
+    flat = formats.flat_features(df)
+    assert flat.columns == ["r$row_lengths_1", "r", "s", "v.w"] and list(flat.first()) == [[2, 0, 1], [1, 2, 3], "a", [0.5]]
+    value = bytes(formats.encode_examples(df).first().value)
+    assert value == formats.example_bytes({"r": [1, 2, 3], "r$row_lengths_1": [2, 0, 1], "s": ["a"], "v.w": [0.5]})
+
+
 def test_row_expressions(spark):
     df = spark.createDataFrame([(["a", "b", "a"], [3, 3, 7, 3], [None, 5, None, 6]), ([], [], []), (None, None, None)], "t array<string>, s array<int>, g array<int>")
-    got = df.select(C.bag_of_words("t" if False else F.col("t"), (1, 2)).alias("bag"), C.segment_indices(F.col("s")).alias("at"), C.left_align(F.col("g")).alias("left")).collect()
+    got = df.select(C.bag_of_words(F.col("t"), (1, 2)).alias("bag"), C.segment_indices(F.col("s")).alias("at"), C.left_align(F.col("g")).alias("left")).collect()
     assert got[0].bag == ["a", "a b", "b", "b a"] and got[0]["at"] == [0, 1, 0, 0] and got[0].left == [5, 6]
     assert got[1].bag == [] and got[1]["at"] == [] and got[1].left == []
     dense = df.limit(1).select(C.dense_from_sparse(F.array(F.lit(3).cast("bigint"), F.lit(0).cast("bigint")), F.array(F.lit("x"), F.lit("y")), 5, "-").alias("d")).first().d

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .storage import small_side, stored_bytes, written
+from .storage import small_side, text_bytes, written
 from .words import WordHashes, grams, mix, word_hashes
 
 #: n-grams that a task sorts at a time; documents sorted together have a 16-bit number.
@@ -225,7 +225,7 @@ def members(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     Also alive are copies in different tasks, each of which has the other's n-grams.
     """
     kind = docs.select("id").schema["id"].dataType.simpleString()
-    parts = max(LEAST_PARTS, min(MOST_PARTS, stored_bytes(docs) // PART_BYTES))
+    parts = max(LEAST_PARTS, min(MOST_PARTS, text_bytes(docs) // PART_BYTES))
     about = f"ids array<{kind}>, ths array<bigint>, at array<int>, hs array<bigint>, sizes array<int>, shared array<int>"
     arrow = to_arrow_type(docs.select("id").schema["id"].dataType)
     sent = docs.select("id", "th", "text").mapInArrow(_postings(n, parts, arrow), f"part int, tag bigint, low binary, own binary, {about}")

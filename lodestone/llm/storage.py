@@ -55,6 +55,12 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of a table of texts: Spark's estimate, or where it has none the length of the texts."""
+    known = stored_bytes(docs)
+    return known if known < 1 << 50 else docs.agg(F.sum(F.length(column))).first()[0] or 0
+
+
 def small_side(side: DataFrame) -> DataFrame:
     """A written table as one side of a join: broadcast if its bytes allow, else hashed after a shuffle."""
     return F.broadcast(side) if stored_bytes(side) <= BROADCAST_BYTES else side.hint("shuffle_hash")

@@ -15,7 +15,12 @@ classes are joined.
    the document's signatures. Two sets with so large an overlap as the
    threshold asks for share one. A signature only pairs sets of like size, and
    only if enough n-grams follow it on both sides for the overlap.
-3. Each candidate pair is verified on the full sets.
+3. Near copies share most signatures, and each would make the same pair again.
+   So sets that are probably alike (their least n-gram in one of a few orders is
+   the same) form blocks of bounded size. A set travels to its block once, and
+   its pairs there are found and verified in one task. Through signatures go
+   only pairs of different blocks.
+4. Each candidate pair is verified on the full sets.
 
 PartEnum's signatures (subsets of parts of the domain) were tried first. At a
 similarity of 0.5 the sets may differ in two thirds of their size, so that a
@@ -44,7 +49,11 @@ FLUSH, FLUSH_DOCS = 2_000_000, 65_000
 _SEVERAL = 0xFFFF
 #: Input bytes for each part of the domain of n-grams; the number of parts only bounds what one step holds.
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 2 << 20, 16, 1 << 17
+#: Most n-grams of the sets that one task compares with each other at a time.
+BLOCK_GRAMS = 2_000_000
 _U = np.uint64
+#: Odd factors, each of which puts n-grams in another order.
+_ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def ngram_set(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
@@ -235,7 +244,7 @@ def members(docs: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def _gram_sets(n: int):
-    """A function over rows (h, text): the set, and 32 bits of each of its hashes, which within a pair of sets are as good as 64."""
+    """A function over rows (h, text): the set, and its least n-grams in a few orders, which similar sets tend to share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -243,17 +252,184 @@ def _gram_sets(n: int):
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
                 sets = [ngram_set(t, n, cache) for t in part.column(1).to_pylist()]
-                columns = []
-                for each in ([s.view(np.int64) for s in sets], [np.unique((s >> _U(32)).astype(np.uint32)).view(np.int32) for s in sets]):
-                    at = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(each))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), *columns], ["h", "size", "grams", "low"])
+                homes = np.array([[(s * m).min() for m in _ORDERS] for s in sets], np.uint64).view(np.int64)
+                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(_ORDERS)), pa.array(homes.ravel())))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), *columns], ["h", "size", "grams", "homes"])
 
     return run
 
 
-def _least_overlap(a, b, threshold: float):
-    return F.ceil((F.col(a) + F.col(b)) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+def _least_overlap(size, threshold: float):
+    return np.ceil(size * (threshold / (1 + threshold)) - 1e-9)
+
+
+def _slices(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from start to end, one range after the other."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _alike(sets: DataFrame) -> DataFrame:
+    """(h, block, n) of each set: its block, which one task compares, and the number of sets in it.
+
+    A block is what least n-grams in common connect, or if that is too large a
+    part of it with one least n-gram, or if that is too large a single set. It
+    only settles where a pair is found, not whether.
+    """
+    roots = components(sets.select("h", F.explode("homes").alias("home")))
+    own = sets.select("h", "size", F.col("homes")[0].alias("home")).join(small_side(roots), F.col("h") == F.col("node"), "left")
+    own = written(own.select("h", "size", "home", F.coalesce("root", "h").alias("root")), "join-homes")
+    whole = own.groupBy("root").agg(F.sum("size").alias("whole"))
+    part = own.groupBy("root", "home").agg(F.sum("size").alias("part"))
+    block = F.when(F.col("whole") <= BLOCK_GRAMS, F.col("root")).when(F.col("part") <= BLOCK_GRAMS, F.xxhash64("root", "home")).otherwise(F.col("h"))
+    found = own.join(whole, "root").join(part, ["root", "home"]).select("h", block.alias("block"))
+    return written(found.withColumn("n", F.count("*").over(Window.partitionBy("block"))), "join-alike")
+
+
+def _similar(h: np.ndarray, size: np.ndarray, length: np.ndarray, flat: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, jaccard) of all similar pairs of sets, which are given by rising size, one after the other in flat."""
+    k = len(h)
+    key = np.unique(np.repeat(np.arange(k), length) << 32 | flat.view(np.uint32).astype(np.int64))
+    _, code, count = np.unique(key & 0xFFFFFFFF, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    key = np.sort(key >> 32 << 32 | rank[code])
+    own, code, single = key >> 32, key & 0xFFFFFFFF, int((count == 1).sum())
+    start = np.searchsorted(own, np.arange(k + 1))
+    signs = np.maximum(start[1:] - start[:-1] - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1, 0)
+    signed = np.flatnonzero((np.arange(len(code)) - start[own] < signs[own]) & (code >= single))
+    order = signed[np.argsort(code[signed], kind="stable")]
+    holders = own[order]
+    first = np.searchsorted(code[order], np.arange(len(count) + 1))
+    first, last = first[:-1].copy(), first[1:]
+    end = np.searchsorted(size, size / threshold + 1e-9, side="right")
+    marked, seen = np.zeros(k, bool), np.zeros(len(count), bool)
+    for i in range(k):
+        mine = code[start[i] : start[i] + signs[i]]
+        mine = mine[mine >= single]
+        first[mine] += 1  # a pair is met at its smaller set
+        met = holders[_slices(first[mine], last[mine])]
+        marked[met] = True
+        others = i + 1 + np.flatnonzero(marked[i + 1 : end[i]])
+        marked[met] = False
+        if not len(others):
+            continue
+        mine = code[start[i] : start[i + 1]]
+        seen[mine] = True
+        hit = seen[code[_slices(start[others], start[others + 1])]]
+        seen[mine] = False
+        length = start[others + 1] - start[others]
+        common = np.add.reduceat(hit, np.cumsum(length) - length, dtype=np.int64)
+        jaccard = common / (size[i] + size[others] - common)
+        good = jaccard >= threshold
+        yield np.full(good.sum(), h[i]), h[others[good]], jaccard[good]
+
+
+def _within(threshold: float):
+    """A function over rows (block, h, size, low) sorted by block and size: the similar pairs of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, out, number = None, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
+            out.clear()
+            number = 0
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "jaccard"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for found in _similar(*(np.concatenate(x) for x in zip(*held)), threshold):
+                out.append(found)
+                number += len(found[0])
+                if number >= 50_000:
+                    yield flush()
+            held.clear()
+
+        for batch in batches:
+            blocks, h, size = (batch.column(k).to_numpy() for k in range(3))
+            at, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            cut = [*np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]][: len(batch)]).tolist(), len(batch)]
+            for i, j in zip(cut, cut[1:]):
+                if blocks[i] != block:
+                    if held:
+                        yield from close()
+                    block = blocks[i]
+                held.append((h[i:j].copy(), size[i:j].astype(np.int64), np.diff(at[i : j + 1]), flat[at[i] : at[j]].copy()))
+        if held:
+            yield from close()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _across(threshold: float):
+    """A function over signatures (g, block, h, size, place) sorted by g and block: the pairs of different blocks that a signature makes candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        found: list[np.ndarray] = []
+        rows, number = 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            pairs = np.unique(np.concatenate(found).view("i8,i8")).view(np.int64).reshape(-1, 2)
+            found.clear()
+            number = 0
+            for k in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[k : k + 100_000, x])) for x in (0, 1)], ["a", "b"])
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, number
+            g, block, h, size, place = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            new = np.r_[True, g[1:] != g[:-1]]
+            if not last:
+                whole = np.flatnonzero(new)[-1]
+                held.append([x[whole:] for x in (g, block, h, size, place)])
+                g, block, h, size, place, new = (x[:whole] for x in (g, block, h, size, place, new))
+            rows = sum(len(x[0]) for x in held)
+            if not len(g):
+                return
+            ends = []
+            for starts in (new, new | np.r_[True, block[1:] != block[:-1]]):
+                at = np.flatnonzero(starts)
+                ends.append(np.repeat(np.r_[at[1:], len(g)], np.diff(np.r_[at, len(g)])))
+            end, j = ends
+            i = np.flatnonzero(j < end)
+            j = j[i]
+            while len(i):
+                small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                left = np.minimum(size[i] - place[i], size[j] - place[j])
+                good = (small >= large * threshold - 1e-9) & (left >= _least_overlap(small + large, threshold))
+                if good.any():
+                    x, y = h[i[good]], h[j[good]]
+                    found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+                    number += len(x)
+                    if number >= FLUSH:
+                        yield from flush()
+                j = j + 1
+                more = j < end[i]
+                i, j = i[more], j[more]
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += len(batch)
+            if rows >= FLUSH // 4:
+                before = rows
+                yield from close(False)
+                if rows == before:  # one n-gram that many have; it grows before it is looked at again
+                    rows = 0
+        if held:
+            yield from close(True)
+        if found:
+            yield from flush()
+
+    return run
 
 
 def class_pairs(docs: DataFrame, own: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -261,26 +437,31 @@ def class_pairs(docs: DataFrame, own: DataFrame, n: int, threshold: float) -> Da
     reps = own.filter("alive").groupBy("h").agg(F.min(F.struct("id", "th")).alias("r")).select("h", F.col("r.id").alias("r_id"), F.col("r.th").alias("r_th"))
     reps = written(reps, "join-reps")
     texts = docs.join(small_side(reps), (F.col("th") == F.col("r_th")) & (F.col("id") == F.col("r_id"))).select("h", "text")
-    sets = texts.mapInArrow(_gram_sets(n), "h bigint, size int, grams array<bigint>, low array<int>")
+    sets = texts.mapInArrow(_gram_sets(n), "h bigint, size int, grams array<bigint>, homes array<bigint>")
     if not own.groupBy("id", "th").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["h"])
     sets = written(sets, "join-sets")
+    # within a pair of sets, 32 bits of a hash are as good as 64
+    full = sets.select("h", "size", F.transform("grams", lambda g: F.shiftright(g, 32).cast("int")).alias("low"))
+    alike = _alike(sets)
+    inside = full.join(small_side(alike.filter("n > 1").select("h", "block")), "h").select("block", "h", "size", "low")
+    inside = inside.repartition("block").sortWithinPartitions("block", "size").mapInArrow(_within(threshold), "a bigint, b bigint, jaccard double")
+    inside = written(inside, "join-within")
     each = sets.select("h", "size", F.explode("grams").alias("g"))
     often = each.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     there = Window.partitionBy("h")
     place = F.col("size") - F.count("*").over(there) + F.row_number().over(there.orderBy("n", "g")) - 1
     signed = each.join(often, "g").withColumn("place", place.cast("int"))
-    signed = written(signed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9)).select("g", "h", "size", "place"), "join-signed")
-    a, b = signed.toDF("g", "a", "a_size", "a_place"), signed.toDF("g2", "b", "b_size", "b_place")
-    smaller = (F.col("a_size") < F.col("b_size")) | (F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b"))
-    alike = F.col("a_size") >= F.col("b_size") * threshold - 1e-9
-    enough = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= _least_overlap("a_size", "b_size", threshold)
-    pairs = written(a.join(b, (F.col("g") == F.col("g2")) & smaller & alike & enough).select("a", "b").distinct(), "join-pairs")
-    full = sets.select("h", "size", "low")
-    both = pairs.join(full.toDF("a", "a_size", "a_low"), "a").join(full.toDF("b", "b_size", "b_low"), "b")
+    signed = signed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9)).join(small_side(alike.select("h", "block")), "h")
+    signed = written(signed.select("g", "block", "h", "size", "place"), "join-signed")
+    pairs = signed.repartition("g").sortWithinPartitions("g", "block").mapInArrow(_across(threshold), "a bigint, b bigint")
+    pairs = written(pairs.distinct(), "join-pairs")
+    first, second = (full.toDF(x, f"{x}_size", f"{x}_low").join(small_side(pairs.select(x)), x, "left_semi") for x in ("a", "b"))
+    both = first.join(small_side(pairs), "a").join(second, "b")
     common = F.size(F.array_intersect("a_low", "b_low"))
     jaccard = F.col("common") / (F.col("a_size") + F.col("b_size") - F.col("common"))
-    return written(both.withColumn("common", common).select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold), "join-good")
+    outside = both.withColumn("common", common).select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return inside.unionByName(written(outside, "join-across"))
 
 
 def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -505,6 +506,53 @@ def test_ngram_join_with_a_shared_template(spark):
     check_join(spark, texts, sets, [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(sets[a], sets[b]) >= 0.5])
 
 
+@pytest.mark.parametrize("flush", [8, 2_000_000])
+def test_pairs_within_blocks_and_across(monkeypatch, flush):
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        bases = [rng.integers(0, 1 << 63, rng.integers(1, 30)).astype(np.uint64) for _ in range(4)]
+        sets = [np.unique(np.r_[b[rng.random(len(b)) < 0.85], rng.integers(0, 1 << 63, rng.integers(1, 6)).astype(np.uint64)]) for b in bases for _ in range(8)]
+        want = {(a, b): jaccard(sets[a], sets[b]) for a, b in itertools.combinations(range(len(sets)), 2) if jaccard(sets[a], sets[b]) >= 0.5}
+        block = rng.integers(0, 6, len(sets))
+        rows = sorted((int(block[i]), len(s), i) for i, s in enumerate(sets))
+        low = [(sets[i] >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, _, i in rows]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(low, pa.list_(pa.int32()))]
+        batch = pa.RecordBatch.from_arrays(columns, ["block", "h", "size", "low"])
+        within = [r for x in ngram_join._within(0.5)(iter([batch.slice(0, 5), batch.slice(5)])) for r in x.to_pylist()]
+        assert {(min(r["a"], r["b"]), max(r["a"], r["b"])): r["jaccard"] for r in within} == {k: v for k, v in want.items() if block[k[0]] == block[k[1]]} and len(within) == len({(r["a"], r["b"]) for r in within})
+        often = Counter(np.concatenate(sets).tolist())
+        signed = []
+        for i, s in enumerate(sets):
+            order = sorted(s.tolist(), key=lambda g: (often[g], g))
+            signed += [(g - (1 << 63), int(block[i]), i, len(s), k) for k, g in enumerate(order[: len(s) - math.ceil(len(s) / 2) + 1])]
+        signed.sort()
+        batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*signed), [pa.int64()] * 3 + [pa.int32()] * 2)], ["g", "block", "h", "size", "place"])
+        across = {(r["a"], r["b"]) for x in ngram_join._across(0.5)(batch.slice(k, 7) for k in range(0, len(batch), 7)) for r in x.to_pylist()}
+        assert all(block[a] != block[b] for a, b in across) and across >= {k for k in want if block[k[0]] != block[k[1]]}
+
+
+def test_near_copies_meet_in_their_block(spark, monkeypatch):
+    # each of their pairs was sent once for every task with a signature of both
+    rows, written = {}, ngram_join.written
+
+    def counted(df, name):
+        found = written(df, name)
+        rows[name] = found.count()
+        return found
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    rng = random.Random(31)
+    text = prose(rng, 300)
+    found = ngram_join.similar_groups(table(spark, [edited(rng, text, 0.01) for _ in range(40)])).collect()
+    assert [r.links for r in found] == [39] * 40 and rows["join-pairs"] < 40
+
+
+def test_ngram_join_with_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 150)
+    test_ngram_join_in_small_steps(spark, monkeypatch)
+
+
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 4)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.integers(0, 60))
 @settings(max_examples=100, deadline=None)
 def test_knapsack(classes, budget):
